@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .language import op5_language
+from .packing import op6_packing
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op5_language": op5_language, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}
