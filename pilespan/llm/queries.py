@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .debruijn import op8_substrings
 from .language import op5_language
 from .packing import op6_packing
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_language": op5_language, "op6_packing": op6_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op5_language": op5_language, "op6_packing": op6_packing, "op8_substrings": op8_substrings}
 ORACLE_SQL: dict[str, str] = {}
