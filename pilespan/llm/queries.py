@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .debruijn import op8_substrings
 from .language import op5_language
+from .mixing import op9_mixing
 from .packing import op6_packing
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_language": op5_language, "op6_packing": op6_packing, "op8_substrings": op8_substrings}
+QUERIES = {"op1_simhash": op1_simhash, "op5_language": op5_language, "op6_packing": op6_packing, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing}
 ORACLE_SQL: dict[str, str] = {}
