@@ -12,27 +12,50 @@ from itertools import combinations
 import numpy as np
 
 
-def _golay() -> tuple[int, np.ndarray]:
-    """[23, 12] binary Golay code: its radius and the nearest code word of every 23-bit word."""
-    rest = np.arange(1 << 23, dtype=np.uint32)
-    for shift in range(11, -1, -1):  # remainder by x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
-        rest = np.where(rest >> np.uint32(11 + shift) & 1, rest ^ np.uint32(0xC75 << shift), rest)
-    leader = np.zeros(1 << 11, dtype=np.uint32)
-    for weight in range(1, 4):
-        for bits in combinations(range(23), weight):
-            word = np.uint32(sum(1 << b for b in bits))
-            leader[rest[word]] = word
-    return 3, np.arange(1 << 23, dtype=np.uint32) ^ leader[rest]
-
-
-def _hamming(parity: int) -> tuple[int, np.ndarray]:
-    """[2^p - 1, 2^p - 1 - p] Hamming code: its radius and the nearest code word of every word."""
-    n = (1 << parity) - 1
-    words = np.arange(1 << n, dtype=np.uint32)
-    place = np.zeros(1 << n, dtype=np.uint32)
-    for bit in range(n):
-        place ^= (words >> np.uint32(bit) & 1) * np.uint32(bit + 1)
-    return 1, np.where(place > 0, words ^ (np.uint32(1) << (np.maximum(place, 1) - 1)).astype(np.uint32), words)
+class Block:
+    """A perfect linear code on `width` bits, decoded by syndromes.
+
+    columns: the syndrome of each single bit; radius: every syndrome is that of one word of at most
+    this weight.
+    """
+
+    def __init__(self, columns: list[int], radius: int):
+        self.width, self.radius = len(columns), radius
+        self.parts = []
+        for at in range(0, self.width, 12):
+            own = columns[at : at + 12]
+            words = np.arange(1 << len(own), dtype=np.uint64)
+            syndrome = np.zeros(len(words), dtype=np.uint16)
+            for bit, column in enumerate(own):
+                syndrome ^= (words >> np.uint64(bit) & np.uint64(1)).astype(np.uint16) * np.uint16(column)
+            self.parts.append((np.uint64(at), np.uint64(len(words) - 1), syndrome))
+        self.leader = np.zeros(1 << max(columns).bit_length(), dtype=np.uint64)
+        for weight in range(1, radius + 1):
+            for bits in combinations(range(self.width), weight):
+                self.leader[int(np.bitwise_xor.reduce([columns[b] for b in bits]))] = sum(1 << b for b in bits)
+
+    def nearest(self, words: np.ndarray) -> np.ndarray:
+        """The code word nearest to each word."""
+        syndrome = np.zeros(words.shape, dtype=np.uint16)
+        for at, mask, table in self.parts:
+            syndrome ^= table[(words >> at & mask).astype(np.int64)]
+        return words ^ self.leader[syndrome]
+
+
+def _golay() -> Block:
+    """[23, 12] binary Golay code, by its generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1."""
+    columns, rest = [], 1
+    for _ in range(23):
+        columns.append(rest)
+        rest <<= 1
+        if rest >> 11:
+            rest ^= 0xC75
+    return Block(columns, 3)
+
+
+def _hamming() -> Block:
+    """[15, 11] Hamming code."""
+    return Block(list(range(1, 16)), 1)
 
 
 class Covering:
@@ -43,13 +66,11 @@ class Covering:
     """
 
     def __init__(self, blocks: tuple[str, ...] = ("golay", "golay", "hamming")):
-        made = {b: _golay() if b == "golay" else _hamming(4) for b in dict.fromkeys(blocks)}
-        self.tables, self.radius, at = [], 0, 0
+        self.blocks, self.radius, at = [], 0, 0
         for b in blocks:
-            radius, near = made[b]
-            width = len(near).bit_length() - 1
-            self.tables.append((np.uint64(at), np.uint64(len(near) - 1), near))
-            self.radius, at = self.radius + radius, at + width
+            block = _golay() if b == "golay" else _hamming()
+            self.blocks.append((np.uint64(at), np.uint64((1 << block.width) - 1), block))
+            self.radius, at = self.radius + block.radius, at + block.width
         if at > 64:
             raise ValueError("the blocks are wider than 64 bits")
         self.radius += 64 - at
@@ -57,8 +78,8 @@ class Covering:
     def home(self, words: np.ndarray) -> np.ndarray:
         """The anchor that covers each word."""
         out = np.zeros(words.shape, dtype=np.uint64)
-        for at, mask, near in self.tables:
-            out |= near[(words >> at & mask).astype(np.int64)].astype(np.uint64) << at
+        for at, mask, block in self.blocks:
+            out |= block.nearest(words >> at & mask) << at
         return out
 
     def replicas(self, words: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
