@@ -134,7 +134,13 @@ class ShardStore:
         parts = [reader.parquet(*[f"{self.path}/{f['name']}" for f in run]).coalesce(1) for run in runs]
         while len(parts) > 1:  # a balanced tree of unions
             parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
-        return self._written(parts[0])
+        # else Spark puts single partitions together in one
+        name, kept = "spark.sql.unionOutputPartitioning", self.spark.conf.get("spark.sql.unionOutputPartitioning", None)
+        self.spark.conf.set(name, "false")
+        try:
+            return self._written(parts[0])
+        finally:
+            self.spark.conf.unset(name) if kept is None else self.spark.conf.set(name, kept)
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete all but the last `keep` versions, and data that none of those lists."""
