@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches, texts_of
 
 #: Words of the windows inside a k-word window from which its minimizer is taken.
-INNER = 5
+INNER = 4
 #: Bytes of text that a map task settles at once, and edges that a reduce task handles at once.
 BLOCK_BYTES, BLOCK_EDGES = 8 << 20, 1 << 20
 #: Bytes of an edge's hash that travel; the 8 bytes of the minimizer's hash come on top.
 EDGE_BYTES = 6
 NO_ID = (1 << 63) - 1
-RUNS = "key long, doc long, at long, words int, edges binary"
+#: at: the place in the high half, the mark in the low one. What rows of a document share comes first, and
+#: what differs lies together, so that shuffled bytes compress.
+RUNS = "doc long, words int, at long, key long, edges binary"
 PATHS = "doc long, mark long, start long, words long, source long, source_start long"
 
 
@@ -113,13 +115,13 @@ def _block(docs: list[tuple[int, int, np.ndarray]], k: int) -> pa.Table:
     keep = np.repeat(sent, b - a)
     at = np.concatenate(([0], np.cumsum((b - a)[sent]))) * EDGE_BYTES
     edges = pa.Array.from_buffers(pa.binary(), int(sent.sum()), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[keep]))])
-    out = [pa.table({"key": least[a[sent]].view(np.int64), "doc": ids[which[a[sent]]], "at": marks[which[a[sent]]] << 32 | place[a[sent]], "words": pa.array(np.zeros(int(sent.sum()), np.int32)), "edges": edges})]
+    out = [pa.table({"doc": ids[which[a[sent]]], "words": pa.array(np.zeros(int(sent.sum()), np.int32)), "at": place[a[sent]] << 32 | marks[which[a[sent]]], "key": least[a[sent]].view(np.int64), "edges": edges})]
     if done.any():
         x = a[done]
         coordinates = np.stack([ids[source[x]], place[first[x]]], 1).astype("<i8")
         flat = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(coordinates))])
         spread = _mix(ids[which[x]].view(np.uint64), place[x].astype(np.uint64)).view(np.int64)
-        out.append(pa.table({"key": spread, "doc": ids[which[x]], "at": marks[which[x]] << 32 | place[x], "words": pa.array((b[done] - x + k - 1).astype(np.int32)), "edges": flat}))
+        out.append(pa.table({"doc": ids[which[x]], "words": pa.array((b[done] - x + k - 1).astype(np.int32)), "at": place[x] << 32 | marks[which[x]], "key": spread, "edges": flat}))
     return pa.concat_tables(out)
 
 
@@ -131,7 +133,7 @@ def _meet(t: pa.Table, carry: tuple | None, k: int) -> tuple[pa.Table, tuple | N
         x = t.filter(pa.array(done))
         coordinates = np.frombuffer(b"".join(x["edges"].to_pylist()), dtype="<i8").reshape(-1, 2)
         at = np.asarray(x["at"])
-        out.append(pa.table({"doc": x["doc"], "mark": at >> 32, "start": at & 0xFFFFFFFF, "words": np.asarray(x["words"]).astype(np.int64), "source": coordinates[:, 0].copy(), "source_start": coordinates[:, 1].copy()}))
+        out.append(pa.table({"doc": x["doc"], "mark": at & 0xFFFFFFFF, "start": at >> 32, "words": np.asarray(x["words"]).astype(np.int64), "source": coordinates[:, 0].copy(), "source_start": coordinates[:, 1].copy()}))
         t = t.filter(pa.array(~done))
     if t.num_rows:
         data = t["edges"].combine_chunks()
@@ -142,8 +144,8 @@ def _meet(t: pa.Table, carry: tuple | None, k: int) -> tuple[pa.Table, tuple | N
         wide[:, :EDGE_BYTES] = raw
         edge, row = wide.view("<u8").ravel(), np.repeat(np.arange(len(sizes)), sizes)
         at = np.asarray(t["at"])
-        key, doc, mark = np.asarray(t["key"])[row], np.asarray(t["doc"])[row], (at >> 32)[row]
-        place = (at & 0xFFFFFFFF)[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key, doc, mark = np.asarray(t["key"])[row], np.asarray(t["doc"])[row], (at & 0xFFFFFFFF)[row]
+        place = (at >> 32)[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         skip = 0
         if carry is not None and carry[0][0] == key[0]:
             skip = len(carry[0])
