@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .debruijn import op8_substrings
 from .language import op5_language
+from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .neighbours import op10_neighbours
 from .packing import op6_packing
@@ -12,5 +13,5 @@ from .sharding import op2_sharding
 from .simhash import op1_simhash
 from .syncmers import op3_fingerprints
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op5_language": op5_language, "op6_packing": op6_packing, "op7_scoring": op7_scoring, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_packing": op6_packing, "op7_scoring": op7_scoring, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_neighbours": op10_neighbours}
 ORACLE_SQL: dict[str, str] = {}
