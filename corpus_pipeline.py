@@ -1,13 +1,65 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes every
+stage's rows as Parquet in the shared folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pilespan.llm.common import cut, documents
+from pilespan.llm.debruijn import remove_repeats
+from pilespan.llm.language import fit, predict
+from pilespan.llm.mixing import mixed
+from pilespan.llm.near_dedup import drop_near_duplicates
+from pilespan.llm.packing import pack
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those whose text is null or has no letter go. A missing lang is filled in."""
+    model = fit(docs)
+    told = predict(docs, model, docs.columns)
+    return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles agree by 0.8 or more."""
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without 13-word windows that a document with a smaller id has; n_chars follows the text."""
+    out = remove_repeats(docs, 13)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents as often as they are taken."""
+    return mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids."""
+    return pack(docs, 1024)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Hashes of sketches, tokenizer ids and learnt filters are out of SQL's reach; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+    return docs

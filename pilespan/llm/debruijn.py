@@ -235,13 +235,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_column: str = "doc_id", text
     with the same id, stay. A null id counts as larger than all others. Columns keep their order.
     """
     small_batches(docs.sparkSession)
-    spanned = with_repeats(docs, k, id_column, text_column)
+    spanned, columns = with_repeats(docs, k, id_column, text_column), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if not spans else b" ".join(kept_words(t.encode(), spans)[0]).decode() for t, spans in zip(batch.column(text_column).to_pylist(), batch.column("_spans").to_pylist())]
-            own = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(own, docs.columns)
+            own = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(own, columns)
 
     return spanned.mapInArrow(work, docs.schema)
 
