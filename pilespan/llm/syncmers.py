@@ -111,10 +111,9 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
         rows = rows.withColumn("_to", F.explode(F.when(starts, F.array(here, F.struct(before.alias("at"), F.lit(True).alias("again")))).otherwise(F.array(here)))).drop("_group", "_fine", "_place", "_range")
     else:
         rows = rows.withColumn("_to", F.struct(F.lit(0).alias("at"), F.lit(False).alias("again")))
-    by = Window.partitionBy("_to.at").orderBy("_to.again", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(by))
-    return rows.where(~F.col("_to.again")).drop("_to")
+    rows = rows.withColumns({"_at": F.col("_to.at"), "_again": F.col("_to.again"), "_tie": F.xxhash64("text")}).drop("_to")
+    by = Window.partitionBy("_at").orderBy("_again", F.col("doc_id").asc_nulls_last(), "_tie", "text")
+    return rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in carried}).where(~F.col("_again")).drop("_at", "_again", "_tie")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
