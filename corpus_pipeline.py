@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pilespan.llm.common import cut, documents
+from pilespan.llm.common import cut, documents, shield
 from pilespan.llm.debruijn import remove_repeats
 from pilespan.llm.language import fit, predict
 from pilespan.llm.mixing import mixed
@@ -19,9 +19,9 @@ from pilespan.llm.packing import pack
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those whose text is null or has no letter go. A missing lang is filled in."""
-    model = fit(docs)
-    told = predict(docs, model, docs.columns)
-    return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    plain, names = shield(docs, "text", "lang")
+    told = predict(plain, fit(plain), plain.columns)
+    return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*plain.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

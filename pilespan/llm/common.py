@@ -10,12 +10,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a filter that goes to all tasks: its size is the same however many keys there are.
+FILTER_BITS = 1 << 26
 #: Documents in an Arrow batch: few enough that a batch of long texts stays small.
 BATCH_ROWS = 512
 
@@ -75,10 +80,43 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever else df has (names in other case included)."""
+    return df.toDF(*[n if n in names else f"_other{i}" for i, n in enumerate(df.columns)]).select(*names)
+
+
+def shield(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with all columns but these renamed, so that no name clashes with an operator's own; its old names."""
+    return df.toDF(*[n if n in names else f"c{i}" for i, n in enumerate(df.columns)]), df.columns
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among keys, rows whose key surely isn't).
+
+    keys: one long column. A bit filter of fixed size decides; where it fills up, more rows may be among the
+    keys, and what is done with them stays right.
+    """
+    spark, name = df.sparkSession, keys.columns[0]
+    bit = F.pmod(name, F.lit(FILTER_BITS))
+    blocks = keys.select((bit / 32768).cast("int").alias("block"), (bit % 32768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for b in blocks:  # at most FILTER_BITS / 32768
+        bits[4096 * b["block"] : 4096 * (b["block"] + 1)] = np.frombuffer(b["bits"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(BooleanType())
+    def maybe(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((shared.value[x >> 3] >> (x & 7) & 1).astype(bool))
+
+    told = df.withColumn("_maybe", maybe(F.pmod(key, F.lit(FILTER_BITS))))
+    return told.where("_maybe").drop("_maybe"), told.where("not _maybe").drop("_maybe")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def n_words(text) -> "F.Column":
+def n_words(text) -> Column:
     """Words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

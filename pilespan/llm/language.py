@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches
+from .common import documents, map_batches, only, small_batches
 
 #: Lengths of the n-grams, in letters; white space and everything else that is no letter is one sign.
 ORDERS = (2, 3, 4, 5)
@@ -122,7 +122,7 @@ def fit(labelled: DataFrame) -> LanguageFilter | None:
     most documents, drawn by a hash of the text, and keeps the n-grams that most of them have.
     """
     small_batches(labelled.sparkSession)
-    known = labelled.where("text is not null and lang is not null").select("text", "lang")
+    known = only(labelled, "text", "lang").where("text is not null and lang is not null")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
     if not sizes:
         return None
@@ -203,7 +203,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document without id is neither learnt from nor held out.
     """
-    docs = documents(spark, sf_dir)
+    docs = only(documents(spark, sf_dir), "doc_id", "text", "lang")
     model = fit(docs.where(remainder(5) != 0))
     asked = docs.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "text")
     return predict(asked, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")

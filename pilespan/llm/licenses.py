@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches
+from .common import documents, map_batches, only, small_batches
 
 #: Least coverage that is reported.
 COVERAGE = 0.8
@@ -179,7 +179,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         types = pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["doc_id", "license", "coverage", "first_word", "end_word"])
 
-    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id long, license string, coverage double, first_word long, end_word long", work)
+    return map_batches(only(docs, id_column, text_column).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id long, license string, coverage double, first_word long, end_word long", work)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

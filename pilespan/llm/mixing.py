@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, n_words
+from .common import WORD, cut, documents, n_words, only, shield
 
 #: Documents of a block (about; small sources have four blocks a shard); shards of the production query.
 BLOCK_DOCS, SHARDS = 1024, 16
@@ -148,7 +148,8 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int =
 
     Columns are those of docs. A document without words is kept once if its source is taken in whole.
     """
-    took = take(docs, share, most, shards, seed)
+    plain, names = shield(docs, "doc_id", "text", "source", "n_chars")
+    took = take(plain, share, most, shards, seed)
     whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(F.lit(1)).cast("int")
     part = F.when(F.col("_size") > 0, F.expr("_taken % _size")).otherwise(F.lit(0)).cast("int")
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_part")), " ")
@@ -156,12 +157,12 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int =
     rows = rows.withColumn("_cut", F.explode("_copies"))
     text = F.when(F.col("_cut"), words).otherwise(F.col("text"))
     out = {"text": text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_cut"), F.length(words).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    if "n_chars" in plain.columns:
+        out["n_chars"] = F.when(F.col("_cut"), F.length(words).cast(plain.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*names)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    took = take(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    took = take(only(documents(spark, sf_dir), "doc_id", "text", "source"))
     return took.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_shard").alias("shard"))

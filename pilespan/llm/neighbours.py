@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, only
 
 #: Rows on which lists are fitted and probes set; most lists; rows of a part of a list.
 FIT_ROWS, MOST_LISTS, PART_ROWS = 16384, 1024, 4096
@@ -105,7 +105,7 @@ def usable(rows: DataFrame) -> DataFrame:
     """(id, v) of the rows that take part: an id, and a vector with no null, no non-finite component
     and not all zero; among them those with the commonest number of dimensions (ties: the least).
     """
-    good = rows.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    good = only(rows, "vec_id", "embedding").where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     good = good.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return good.where(F.size("v") == (sizes["d"] if sizes else 0))
@@ -212,4 +212,4 @@ def _cosine(query: np.ndarray, rows: np.ndarray, norms: np.ndarray) -> np.ndarra
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest by cosine of every vector whose vec_id is divisible by 50, among all others."""
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "id % 50 = 0", 5)
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0", 5)

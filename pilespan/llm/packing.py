@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, only, small_batches
 
 #: Windows that a task keeps open before it fills some by cutting others.
 OPEN_WINDOWS = 2048
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, id_col
         if rows:
             yield flush()
 
-    return docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).mapInArrow(run, SCHEMA)
+    return only(docs, id_column, text_column).select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .common import cut, documents, map_batches, small_batches, stored, texts_of
+from .common import cut, documents, map_batches, only, small_batches, stored, texts_of
 from .language import remainder
 
 #: Longest n-grams; discount of every count; least share of the tokens that words and n-grams in the
@@ -279,5 +279,5 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document without id is neither learnt from nor held out.
     """
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "text")
+    docs = only(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "text")
     return scores(docs, F.coalesce(remainder(7) != 2, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, map_batches, small_batches, texts_of
+from .common import cut, documents, map_batches, only, small_batches, texts_of
 from .components import components
 from .covering import covering
 
@@ -59,7 +59,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
         fp = np.array([majority(shingle_hashes(t, shingle))[0] for t in texts_of(batch, "text")], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return map_batches(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), "id long, fp long", work)
+    rows = only(docs, id_column, text_column)
+    return map_batches(rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), "id long, fp long", work)
 
 
 def linked_fingerprints(fps: DataFrame, threshold: int = 2, blocks: tuple[str, ...] = BLOCKS, crowd: int = CROWD) -> DataFrame:

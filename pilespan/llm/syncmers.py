@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, only
 
 #: Words of a k-mer and of the s-mers in it; hashes kept; texts of at most so many code points also have
 #: anchors on characters, whose inner s-mers are GRAM of them.
@@ -70,7 +70,7 @@ def anchors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     one anchor at 0.
     """
     inner = K - S + 1
-    rows = docs.select(F.col(id_column).alias("doc_id"), _hashed(F.coalesce(text_column, F.lit(""))).alias("_w"))
+    rows = only(docs, id_column, text_column).select(F.col(id_column).alias("doc_id"), _hashed(F.coalesce(text_column, F.lit(""))).alias("_w"))
     part = [f"get(_w, i + {j})" for j in range(inner)]
     middle = f"least({', '.join(part[1:-1])}, {part[1]})"
     found = F.expr(f"if(size(_w) < {inner}, array(struct(0 as position, xxhash64(_w) & 4294967295 as anchor)), transform(filter(sequence(0, size(_w) - {inner}), i -> {part[0]} <= {middle} or {part[-1]} <= {middle}), i -> struct(i as position, xxhash64({', '.join(part)}) & 4294967295 as anchor)))")
@@ -121,7 +121,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null text is empty; texts without words are alike.
     """
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = only(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(with_sketch(docs, "text", "sketch"), ["text", "sketch"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("next_text", F.coalesce("next_text", F.lit("")))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))"))
