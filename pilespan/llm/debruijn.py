@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, texts_of
+from .common import cut, documents, only, shield, small_batches, split_by_keys, texts_of
 
 #: Words of the windows inside a k-word window from which its minimizer is taken.
 INNER = 4
 #: Bytes of text that a map task settles at once, and edges that a reduce task handles at once.
-BLOCK_BYTES, BLOCK_EDGES = 8 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_EDGES = 8 << 20, 1 << 19
 #: Bytes of an edge's hash that travel; the 8 bytes of the minimizer's hash come on top.
 EDGE_BYTES = 6
 NO_ID = (1 << 63) - 1
@@ -207,12 +207,19 @@ def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
     return runs.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meet, PATHS)
 
 
-def with_repeats(docs: DataFrame, k: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with a column _spans: the [start, end) word spans that repeat (null for none)."""
-    marked = docs.withColumn("_doc", F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))).withColumn("_mark", F.xxhash64(text_column).bitwiseAND(0x7FFFFFFF))
-    paths = repeated_paths(marked.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), F.col(text_column).alias("text")), k)
+def with_repeats(docs: DataFrame, k: int) -> DataFrame:
+    """docs (doc_id, text, more) with a column _spans: the [start, end) word spans that repeat (null for none).
+
+    Only documents that may have spans are shuffled to meet them.
+    """
+    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_mark": F.xxhash64("text").bitwiseAND(0x7FFFFFFF)})
+    paths = repeated_paths(marked.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), "text"), k)
     spans = paths.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("words")).alias("stop")))).alias("_spans"))
-    return marked.join(spans.hint("shuffle_hash"), ["_doc", "_mark"], "left").drop("_doc", "_mark")
+    spans = cut(spans, "spans")
+    inside, outside = split_by_keys(marked, F.xxhash64("_doc", "_mark"), spans.select(F.xxhash64("_doc", "_mark").alias("key")))
+    none = F.lit(None).cast(spans.schema["_spans"].dataType)
+    met = inside.join(spans.hint("shuffle_hash"), ["_doc", "_mark"], "left")
+    return met.select(*docs.columns, "_spans").union(outside.select(*docs.columns, none.alias("_spans")))
 
 
 def kept_words(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -226,29 +233,30 @@ def kept_words(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]
     return [w for w, g in zip(words, gone.tolist()) if not g], len(words)
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the words of repeated spans: every k-word window that also starts in a document
-    with a smaller id goes.
+def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
+    """docs (doc_id, text, more) without the words of repeated spans: every k-word window that also starts
+    in a document with a smaller id goes.
 
     A text that loses words becomes its other words joined by one space, others stay as they are; a
     null text stays null. Windows don't cross documents; repeats inside one document, or among rows
-    with the same id, stay. A null id counts as larger than all others. Columns keep their order.
+    with the same id, stay. A null id counts as larger than all others. Columns keep names and order.
     """
     small_batches(docs.sparkSession)
-    spanned, columns = with_repeats(docs, k, id_column, text_column), docs.columns
+    plain, names = shield(docs, "doc_id", "text")
+    columns = plain.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not spans else b" ".join(kept_words(t.encode(), spans)[0]).decode() for t, spans in zip(batch.column(text_column).to_pylist(), batch.column("_spans").to_pylist())]
-            own = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in columns]
+            texts = [t if not spans else b" ".join(kept_words(t.encode(), spans)[0]).decode() for t, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+            own = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(own, columns)
 
-    return spanned.mapInArrow(work, docs.schema)
+    return with_repeats(plain, k).mapInArrow(work, plain.schema).toDF(*names)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 13-word windows."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = only(documents(spark, sf_dir), "doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +264,8 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
             for doc, text, spans in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("_spans").to_pylist()):
                 kept, n = kept_words(text, spans)
                 rows.append((doc, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)] if rows else [[], [], [], []], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            types = pa.int64(), pa.int64(), pa.int64(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     small_batches(spark)
     return with_repeats(docs, 13).mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
