@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hms
+from ..functions.scalars import bit, hms
 
 
 def runtime_by_sample(parts: DataFrame) -> DataFrame:
@@ -46,3 +46,10 @@ def substitution_spectrum(table: DataFrame, keys: tuple[str, ...] = ()) -> DataF
 def sample_summary(table: DataFrame) -> DataFrame:
     """(sample, n_sites, n_edited, n_bases) of a table."""
     return table.groupBy("sample").agg(F.count("*").alias("n_sites"), F.count_if(F.size("all_subs") > 0).alias("n_edited"), F.sum("coverage").alias("n_bases"))
+
+
+def read_distribution(bases: DataFrame, keys: tuple[str, ...] = ("region",)) -> DataFrame:
+    """Bases by the read of a pair that they come from and its direction: r1, r1_reverse, r2, r2_reverse."""
+    first, reverse = bit("flag", 64), bit("flag", 16)
+    kinds = {"r1": first & ~reverse, "r1_reverse": first & reverse, "r2": ~first & ~reverse, "r2_reverse": ~first & reverse}
+    return bases.groupBy(*keys).agg(*[F.count_if(rule).alias(name) for name, rule in kinds.items()])

@@ -227,6 +227,14 @@ ON r.region = t.region AND r.start0 < t.end0 AND t.start0 < r.start0 + r.qlen"""
 printf('%.2f', mean_q) AS "MeanQ", '[' || n_a || ', ' || n_c || ', ' || n_g || ', ' || n_t || ']' AS "BaseCount[A,C,G,T]", all_subs AS "AllSubs", printf('%.2f', frequency) AS "Frequency",
 '-' AS "gCoverage-q30", '-' AS "gMeanQ", '-' AS "gBaseCount[A,C,G,T]", '-' AS "gAllSubs", '-' AS "gFrequency" FROM ({sites_sql(strand=1)})""",
     "ordered_sites": f"SELECT region, position, CAST(row_number() OVER (ORDER BY region, position) - 1 AS BIGINT) AS place FROM ({sites_sql(strict=True)})",
+    "read_distribution": f"""SELECT region, CAST(count(*) FILTER (flag & 64 <> 0 AND flag & 16 = 0) AS BIGINT) AS r1, CAST(count(*) FILTER (flag & 64 <> 0 AND flag & 16 <> 0) AS BIGINT) AS r1_reverse,
+CAST(count(*) FILTER (flag & 64 = 0 AND flag & 16 = 0) AS BIGINT) AS r2, CAST(count(*) FILTER (flag & 64 = 0 AND flag & 16 <> 0) AS BIGINT) AS r2_reverse FROM ({bases_sql(RNA)}) WHERE qual >= 30 AND base <> 'N' GROUP BY 1""",
+    "site_discard_reasons": f"""SELECT CASE WHEN NOT mean_q >= 33 THEN 'mean quality' WHEN coverage < 6 THEN 'column length' WHEN least(n1, n2, n3) < 2 THEN 'edits per nucleotide'
+WHEN alts + CASE WHEN nr > 0 THEN 1 ELSE 0 END > 2 THEN 'changes' WHEN alts = 0 THEN 'no edits' END AS reason, CAST(count(*) AS BIGINT) AS n_sites FROM (
+  SELECT *, coalesce(nullif(a, 0), 99) AS n1, coalesce(nullif(b, 0), 99) AS n2, coalesce(nullif(c, 0), 99) AS n3, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT AS alts FROM (
+    SELECT mean_q, coverage, CASE reference WHEN 'A' THEN n_a WHEN 'C' THEN n_c WHEN 'G' THEN n_g ELSE n_t END AS nr,
+      CASE reference WHEN 'A' THEN n_c ELSE n_a END AS a, CASE reference WHEN 'A' THEN n_g WHEN 'C' THEN n_g ELSE n_c END AS b, CASE reference WHEN 'T' THEN n_g ELSE n_t END AS c
+    FROM ({sites_sql(strand=1, min_quality=0)}))) GROUP BY 1""",
     "remaining_intervals": "SELECT 'chr' || r AS region, s AS start, least(s + 999, 5120) AS \"end\" FROM (SELECT unnest(range(1, 4)) AS r), (SELECT unnest(range(1, 5121, 1000)) AS s) WHERE r <> 2",
     "substitution_spectrum": SPECTRUM,
     "pileup_flagship": FLAGSHIP,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PileupConfig, Region
 from ..operators import bases as base_ops
 from ..operators import coverage as cover
+from ..operators import pileup as pile_ops
 from ..operators import positions as at
 from ..operators import reads as read_ops
 from ..operators import reports
@@ -20,7 +21,7 @@ from ..operators.islands import homopolymer_runs, positions_to_intervals
 from ..sources import sinks
 from ..sources.fasta import lengths
 from . import bridge
-from .pileups import pileup
+from .pileups import column_sites, kept_bases, pileup
 
 CONFIG = PileupConfig()
 STRANDED = PileupConfig(strand=1)
@@ -124,8 +125,6 @@ def sample_runtime(spark: SparkSession, d: str) -> DataFrame:
 
 def ordered_sites(spark: SparkSession, d: str) -> DataFrame:
     """Sites numbered in the order of the output; the number shows the order."""
-    from pyspark.sql import Window
-
     rows = sinks.ordered(_pileup(spark, d, replace(CONFIG, strict=True)), bridge.sizes(spark)).select("region", "position")
     sizes = rows.groupBy("region").agg(F.count("*").alias("_n"))
     before = Window.orderBy("region").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,6 +138,14 @@ def pileup_flagship(spark: SparkSession, d: str) -> DataFrame:
     return _flat(_pileup(spark, d, replace(STRANDED, strand_correction=True), excluded=(_splice(spark, d), _run_positions(spark))))
 
 
+def site_discard_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many sites each column rule is the first to drop."""
+    config = replace(STRANDED, min_column_quality=33, min_column_length=6, min_edits_per_nucleotide=2, max_editing_nucleotides=2, strict=True)
+    kept = kept_bases(_reads(spark, d), config, bridge.pick)
+    told = pile_ops.site_discard_reasons(column_sites(kept, bridge.reference(spark), config), config)
+    return told.groupBy("reason").agg(F.count("*").alias("n_sites"))
+
+
 def _strands(strand: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: _reads(spark, d).select("read_id", "flag", read_ops.read_strand(strand).alias("strand"))
 
@@ -185,6 +192,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_runtime": sample_runtime,
     "site_table_text": lambda s, d: sinks.table_text(_pileup(s, d, STRANDED)),
     "ordered_sites": ordered_sites,
+    "read_distribution": lambda s, d: reports.read_distribution(base_ops.filter_bases(_all_bases(s, d), CONFIG)),
+    "site_discard_reasons": site_discard_reasons,
     "remaining_intervals": lambda s, d: reports.remaining(_fixed(s), _fixed(s).where("region = 'chr2'")),
     "substitution_spectrum": lambda s, d: reports.substitution_spectrum(_pileup(s, d, STRANDED)),
     "pileup_flagship": pileup_flagship,

@@ -21,9 +21,9 @@ def read_sam(spark: SparkSession, path: str, sample: str | None = None) -> DataF
         F.lit(sample).alias("sample"),
         f(0).alias("read_id"),
         f(2).alias("region"),
-        (f(3).cast("long") - 1).alias("start0"),
-        f(1).cast("int").alias("flag"),
-        f(4).cast("int").alias("mapq"),
+        (f(3).try_cast("long") - 1).alias("start0"),
+        f(1).try_cast("int").alias("flag"),
+        f(4).try_cast("int").alias("mapq"),
         F.when(f(5) != "*", f(5)).alias("cigar"),
         F.when(f(9) != "*", f(9)).alias("seq"),
         F.filter(quals, lambda q: q >= 0).alias("quals"),
