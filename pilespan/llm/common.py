@@ -10,12 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,21 +93,13 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
     keys: one long column. A bit filter of fixed size decides; where it fills up, more rows may be among the
     keys, and what is done with them stays right.
     """
-    spark, name = df.sparkSession, keys.columns[0]
-    bit = F.pmod(name, F.lit(FILTER_BITS))
-    blocks = keys.select((bit / 32768).cast("int").alias("block"), (bit % 32768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for b in blocks:  # at most FILTER_BITS / 32768
-        bits[4096 * b["block"] : 4096 * (b["block"] + 1)] = np.frombuffer(b["bits"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf(BooleanType())
-    def maybe(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((shared.value[x >> 3] >> (x & 7) & 1).astype(bool))
-
-    told = df.withColumn("_maybe", maybe(F.pmod(key, F.lit(FILTER_BITS))))
-    return told.where("_maybe").drop("_maybe"), told.where("not _maybe").drop("_maybe")
+    bit = F.pmod(keys.columns[0], F.lit(FILTER_BITS))
+    blocks = keys.select((bit / 32768).cast("int").alias("_block"), (bit % 32768).alias("bit")).groupBy("_block").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+    blocks = F.broadcast(cut(blocks, "filter"))  # FILTER_BITS / 8 bytes at most
+    at = F.pmod(key, F.lit(FILTER_BITS))
+    told = df.withColumns({"_block": (at / 32768).cast("int"), "_bit": (at % 32768).cast("int")}).join(blocks, "_block", "left")
+    maybe = F.expr("coalesce(cast(conv(hex(substring(_bits, shiftright(_bit, 3) + 1, 1)), 16, 10) as int) & shiftleft(1, _bit & 7), 0) <> 0")
+    return told.where(maybe).select(*df.columns), told.where(~maybe).select(*df.columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

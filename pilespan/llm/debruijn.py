@@ -27,7 +27,7 @@ from .common import cut, documents, only, shield, small_batches, split_by_keys,
 #: Words of the windows inside a k-word window from which its minimizer is taken.
 INNER = 4
 #: Bytes of text that a map task settles at once, and edges that a reduce task handles at once.
-BLOCK_BYTES, BLOCK_EDGES = 8 << 20, 1 << 19
+BLOCK_BYTES, BLOCK_EDGES = 2 << 20, 1 << 17
 #: Bytes of an edge's hash that travel; the 8 bytes of the minimizer's hash come on top.
 EDGE_BYTES = 6
 NO_ID = (1 << 63) - 1
@@ -101,6 +101,7 @@ def _block(docs: list[tuple[int, int, np.ndarray]], k: int) -> pa.Table:
     place = np.arange(len(edge)) - (ends - sizes)[which]
     whole = place + k <= sizes[which]
     edge, least, which, place = edge[whole], least[whole], which[whole], place[whole]
+    del words, whole
     ids, marks = np.array([d[0] for d in docs], dtype=np.int64), np.array([d[1] for d in docs], dtype=np.int64)
     first = _first(edge, least)
     source = which[first]
