@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .common import cut, documents, map_batches, only, small_batches, stored, texts_of
+from .common import cut, documents, map_batches, only, shield, small_batches, stored, texts_of
 from .language import remainder
 
 #: Longest n-grams; discount of every count; least share of the tokens that words and n-grams in the
 #: automaton make up (so at most 1 / share of each length).
 ORDER, DISCOUNT, WORD_SHARE, NGRAM_SHARE = 3, 0.5, 2e-6, 1e-5
+#: Columns that scores() makes; columns of the same names give way.
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Bytes of text whose n-grams are counted at once.
 BLOCK_BYTES = 8 << 20
 
@@ -100,7 +102,7 @@ def ngram_counts(train: DataFrame, words: Words, tokens: int, order: int, share:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            least = max(2, share * (sum(map(len, block)) + len(block)))
+            least = share * (sum(map(len, block)) + len(block))
             for n in lengths:
                 key, c = np.unique(np.concatenate([known.value.ngrams(h, n) for h in block]), return_counts=True)
                 often = c >= least
@@ -208,7 +210,7 @@ class Automaton:
 
 
 def scores(docs: DataFrame, train, order: int = ORDER, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE) -> DataFrame:
-    """docs (doc_id, text, more) and n_tokens, n_known, train_tokens, base_score, score.
+    """docs (doc_id, more) without text, and n_tokens, n_known, train_tokens, base_score, score.
 
     train: a Boolean column; the model learns from rows where it is true. Tokens of a text are its words, A-Z
     in lower case, then one end; a null text has the end only. base_score: add-one unigrams, with one more type for
@@ -217,7 +219,8 @@ def scores(docs: DataFrame, train, order: int = ORDER, word_share: float = WORD_
     """
     spark = docs.sparkSession
     small_batches(spark)
-    learnt = docs.where(train).select("text")
+    docs, names = shield(docs.select("*", F.coalesce(train, F.lit(False)).alias("_learn")), "doc_id", "text")
+    learnt = docs.where(docs.columns[-1]).select("text")
     counts, _ = stored(word_counts(learnt), "words")
     texts = learnt.select(F.count("*").alias("n")).first()["n"]
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
@@ -227,7 +230,7 @@ def scores(docs: DataFrame, train, order: int = ORDER, word_share: float = WORD_
     by = np.argsort(hashes)
     words = Words(hashes[by], np.append(c[by], texts))
     model = spark.sparkContext.broadcast((words, Automaton(words, ngram_counts(learnt, words, tokens, order, ngram_share), tokens) if tokens else None))
-    carried = [x for x in docs.columns if x != "text"]
+    carried = {x: n for x, n in zip(docs.columns[:-1], names) if x != "text" and n.lower() not in MADE}
     schema = docs.select(*carried).schema.add("_row", "long").add("n_tokens", "long").add("_often", "long").add("_base", "double").add("_score", "double").add("_rare", ArrayType(LongType())).add("_times", ArrayType(IntegerType()))
 
     def traverse(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,7 +268,7 @@ def scores(docs: DataFrame, train, order: int = ORDER, word_share: float = WORD_
     known = F.coalesce(F.col("_known") / once, F.lit(0.0))
     missing = float(np.log10(DISCOUNT * types / tokens)) if tokens else 0.0
     return out.select(
-        *carried,
+        *[F.col(x).alias(n) for x, n in carried.items()],
         "n_tokens",
         (F.col("_often") + known.cast("long")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
