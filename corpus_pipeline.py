@@ -31,8 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without 13-word windows that a document with a smaller id has; n_chars follows the text."""
-    out = remove_repeats(docs, 13)
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    plain, names = shield(docs, "doc_id", "text", "n_chars")
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(plain.schema["n_chars"].dataType))
+    return remove_repeats(plain, 13).withColumn("n_chars", n_chars).toDF(*names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

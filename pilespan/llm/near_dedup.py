@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, texts_of
+from .common import cut, only, shield, small_batches, split_by_keys, texts_of
 from .components import components
 from .covering import covering
 from .simhash import shingle_hashes
 
 SKETCH_WORDS, TABLES, DRAWN = 16, 16, 46
-#: Sketches compared in a map task at once; neighbours at an anchor with which a text is compared.
-BLOCK, NEIGHBOURS = 8192, 8
+#: Sketches that a map task compares at once; neighbours at an anchor with which a text is compared.
+BLOCK, NEIGHBOURS = 2048, 8
 #: Sketches of texts at a similarity s differ in a share acos(2 s / (1 + s)) / pi of the bits. So many standard
 #: deviations from that for the threshold they are clear, if the texts have CLEAR_SHINGLES.
-CLEAR, CLEAR_SHINGLES = 3.5, 64
+CLEAR, CLEAR_SHINGLES = 3.5, 32
 
 
 def share_apart(similarity: float) -> float:
@@ -77,39 +77,62 @@ def _draws() -> np.ndarray:
     return np.stack([rng.choice(64 * SKETCH_WORDS, DRAWN, replace=False) for _ in range(TABLES)])
 
 
-def _meet(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes at the same key, each with the first there and those just before it, whose words are near."""
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n items the least item that the links a-b reach."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _meet(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, apart: int) -> np.ndarray:
+    """Pairs of nodes at the same key: each with the nearest by word of the first there and those just
+    before it, if they differ by at most `apart` bits. So there are no more pairs than rows.
+    """
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.nonzero(new)[0][np.cumsum(new) - 1]
     here = np.arange(len(keys))
-    out = []
-    for other in [first, *(here - s for s in range(1, NEIGHBOURS + 1))]:
+    best, partner = np.full(len(keys), 65, dtype=np.uint8), here.copy()
+    for step in range(NEIGHBOURS + 1):
+        other = here - step if step else first
         ok = (other >= first) & (other < here)
-        a, b = here[ok], other[ok]
-        near = (nodes[a] != nodes[b]) & (np.bitwise_count(words[a] ^ words[b]) <= apart)
-        out.append(np.stack([nodes[a[near]], nodes[b[near]]], 1))
-    pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        far = np.where(ok & (nodes != nodes[other]), np.bitwise_count(words ^ words[other]), 65)
+        partner = np.where(far < best, other, partner)
+        best = np.minimum(best, far)
+    near = best <= apart
+    return np.unique(np.sort(np.stack([nodes[near], nodes[partner[near]]], 1), axis=1), axis=0)
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs of nodes (columns node, sketch) that meet at an anchor and look near."""
+def clear_bits(similarity: float, sign: int, bits: int = 64 * SKETCH_WORDS) -> float:
+    """Bits by which sketches differ that are clearly below (-1) or above (1) the threshold."""
     share = share_apart(similarity)
-    near_word = int(64 * share + 3.5 * np.sqrt(64 * share * (1 - share)))
-    near_all = 64 * SKETCH_WORDS * share + CLEAR * np.sqrt(64 * SKETCH_WORDS * share * (1 - share))
+    return bits * share + sign * CLEAR * np.sqrt(bits * share * (1 - share))
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, sure) of nodes (node, sketch, n) that meet at an anchor and look near; sure ones need no check."""
+    sure_bits, far_word = clear_bits(similarity, -1), int(clear_bits(similarity, 1, 64))
     draws = _draws()
 
-    def block(node: np.ndarray, sketch: np.ndarray) -> pa.Table:
-        """Replicas of a block; of two at an anchor whose sketches are near the second stays, linked."""
+    def block(batches: list[pa.RecordBatch]) -> pa.Table:
+        """Replicas of a block. What is surely near the first at an anchor stays, and is linked once in the block."""
+        t = pa.Table.from_batches(batches)
+        node, large = np.asarray(t["node"]), np.asarray(t["n"]) >= CLEAR_SHINGLES
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
         code = covering(("golay", "golay"))
         flips = np.concatenate(([0], 1 << np.arange(DRAWN))).astype(np.uint64)
-        bits = np.unpackbits(sketch, axis=1, bitorder="little")
-        words = sketch.view("<u8")
-        links, out = [], []
-        for t, places in enumerate(draws):
+        bits, words = np.unpackbits(sketch, axis=1, bitorder="little"), sketch.view("<u8")
+        ends, out = [], []
+        for table, places in enumerate(draws):
             drawn = (bits[:, places].astype(np.uint64) << np.arange(DRAWN, dtype=np.uint64)).sum(1, dtype=np.uint64)
-            anchor = np.sort(code.home(drawn[:, None] ^ flips) | np.uint64(t << DRAWN), axis=1)
+            anchor = np.sort(code.home(drawn[:, None] ^ flips) | np.uint64(table << DRAWN), axis=1)
             fresh = np.ones(anchor.shape, dtype=bool)
             fresh[:, 1:] = anchor[:, 1:] != anchor[:, :-1]
             key, row = anchor[fresh], np.repeat(np.arange(len(node)), fresh.sum(1))
@@ -119,30 +142,28 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             new[1:] = key[1:] != key[:-1]
             head = row[np.nonzero(new)[0][np.cumsum(new) - 1]]
             later = np.nonzero(~new)[0]
-            near = later[np.bitwise_count(words[row[later]] ^ words[head[later]]).sum(1) <= near_all]
-            links.append(np.stack([node[row[near]], node[head[near]]], 1))
+            x, y = row[later], head[later]
+            near = large[x] & large[y] & (np.bitwise_count(words[x] ^ words[y]).sum(1) <= sure_bits)
+            ends.append(np.stack([x[near], y[near]]))
             keep = np.ones(len(key), dtype=bool)
-            keep[near] = False
-            out.append(pa.table({"key": key[keep].view(np.int64), "node": node[row[keep]], "word": words[row[keep], t % SKETCH_WORDS].copy().view(np.int64)}))
-        linked = np.unique(np.concatenate(links), axis=0)
-        # a link travels as a row with a key of its own
-        out.append(pa.table({"key": np.full(len(linked), -1) - (linked[:, 0] & 0xFFFF), "node": linked[:, 0].copy(), "word": linked[:, 1].copy()}))
+            keep[later[near]] = False
+            out.append(pa.table({"key": key[keep].view(np.int64), "node": node[row[keep]], "word": words[row[keep], table % SKETCH_WORDS].copy().view(np.int64)}))
+        least = _forest(len(node), *np.concatenate(ends, axis=1))
+        own = np.nonzero(least != np.arange(len(node)))[0]
+        # a link travels as a row with a key of its own, below zero
+        out.append(pa.table({"key": -1 - (node[own] & 0xFFFFFF), "node": node[own], "word": node[least[own]]}))
         return pa.concat_tables(out)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, size = [], 0
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= BLOCK:
-                yield from block(*_arrays(held)).combine_chunks().to_batches(1 << 16)
-                held = []
-        if sum(b.num_rows for b in held):
-            yield from block(*_arrays(held)).combine_chunks().to_batches(1 << 16)
-
-    def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(held)
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        return np.asarray(t["node"]), sketch
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield from block(held).combine_chunks().to_batches(1 << 16)
+                held, size = [], 0
+        if size:
+            yield from block(held).combine_chunks().to_batches(1 << 16)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, carry = [], 0, None
@@ -156,25 +177,52 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             key, node, word = key[~link], node[~link], word[~link]
             if carry is not None and len(key):
                 key, node, word = (np.concatenate(x) for x in zip(carry, (key, node, word)))
-            u, v = _meet(key, node, word.view(np.uint64), near_word) if len(key) else (known[:0, 0], known[:0, 1])
+            pairs = _meet(key, node, word.view(np.uint64), far_word) if len(key) else known[:0]
             if len(key):  # the first of the last key, and its last neighbours
                 at = int(np.searchsorted(key, key[-1]))
                 stay = np.unique(np.concatenate(([at], np.arange(max(at, len(key) - NEIGHBOURS), len(key)))))
                 carry = key[stay], node[stay], word[stay]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, known[:, 0]))), pa.array(np.concatenate((v, known[:, 1])))], ["u", "v"])
+            both = np.concatenate((pairs, known))
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.arange(len(both)) >= len(pairs))], ["u", "v", "sure"])
 
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 1 << 18:
+            if size >= 1 << 17:
                 yield settle()
                 held, size = [], 0
         if held:
             yield settle()
 
-    rows = nodes.select("node", "sketch").mapInArrow(replicate, "key long, node long, word long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "word").mapInArrow(meet, "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+    rows = nodes.select("node", "sketch", "n").mapInArrow(replicate, "key long, node long, word long")
+    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "u long, v long, sure boolean")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sure").where("u < v").groupBy("u", "v").agg(F.max("sure").alias("sure"))
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v, more) whose ends aren't in one group of roots (node, root)."""
+    out = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("_u")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("_v")), "v", "left")
+    return out.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(*pairs.columns)
+
+
+def checked(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (u, v, a, b) whose texts, named by (doc, mark), share enough of their shingles."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.doc").alias("doc"), F.col("x.mark").alias("mark")).distinct()
+    inside, _ = split_by_keys(keyed, F.xxhash64("doc", "mark"), asked.select(F.xxhash64("doc", "mark").alias("key")))
+    texts = inside.join(asked, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"])
+    texts = cut(texts.select(F.struct("doc", "mark").alias("key"), "text"), "texts")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"))):
+                x, y = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], ["u", "v"])
+
+    return both.select("u", "v", "text_a", "text_b").mapInArrow(check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -186,36 +234,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     with similarity. Empty tables give no rows.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
+    keyed = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
     made = cut(sketches(keyed, shingle), "sketches")
     nodes = made.groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     nodes = cut(nodes, "nodes")
     pairs = cut(candidates(nodes, similarity), "pairs")
-    share = share_apart(similarity)
-    bits, spread = 64 * SKETCH_WORDS, CLEAR * np.sqrt(64 * SKETCH_WORDS * share * (1 - share))
     apart = " + ".join(f"bit_count(cast(conv(hex(substring(a.sketch, {8 * i + 1}, 8)), 16, -10) as bigint) ^ cast(conv(hex(substring(b.sketch, {8 * i + 1}, 8)), 16, -10) as bigint))" for i in range(SKETCH_WORDS))
-    judged = pairs.join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node"))
+    judged = pairs.where("not sure").join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node"))
     judged = judged.select("u", "v", F.expr(apart).alias("apart"), F.least("a.n", "b.n").alias("n"), F.col("a.least").alias("a"), F.col("b.least").alias("b"))
-    judged = cut(judged.where(F.col("apart") <= bits * share + spread), "judged")
-    clear = (F.col("apart") <= bits * share - spread) & (F.col("n") >= CLEAR_SHINGLES)
-    sure = judged.where(clear).select("u", "v")
-    joined = cut(components(sure), "clear")
-    open_ = judged.where(~clear).join(joined.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(joined.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-    open_ = cut(open_.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "a", "b"), "unclear")
-    texts = keyed.join(open_.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.doc").alias("doc"), F.col("x.mark").alias("mark")).distinct(), ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"])
-    texts = cut(texts.select(F.struct("doc", "mark").alias("key"), "text"), "unclear-texts")
-    both = open_.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("u", "v", "text_a", "text_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"))):
-                x, y = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], ["u", "v"])
-
-    links = joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(both.mapInArrow(check, "u long, v long"))
+    judged = cut(judged.where(F.col("apart") <= clear_bits(similarity, 1)), "judged")
+    clear = (F.col("apart") <= clear_bits(similarity, -1)) & (F.col("n") >= CLEAR_SHINGLES)
+    sure = judged.where(clear).select("u", "v").union(pairs.where("sure").select("u", "v"))
+    roots = cut(components(sure), "clear")
+    unclear = cut(between(judged.where(~clear), roots), "unclear")
+    # first each text with its nearest, then what still lies between groups: of a crowd few pairs are left
+    nearest = unclear.select(F.explode(F.array("u", "v")).alias("x"), "apart", "u", "v").groupBy("x").agg(F.min(F.struct("apart", "u", "v")).alias("m")).select("m.u", "m.v").distinct()
+    nearest = cut(nearest, "nearest")
+    links = cut(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(checked(keyed, unclear.join(nearest, ["u", "v"]), shingle, similarity)), "links")
+    rest = cut(between(unclear.join(nearest, ["u", "v"], "left_anti"), cut(components(links), "groups")), "rest")
+    links = links.union(checked(keyed, rest, shingle, similarity))
     roots = components(links)
     rooted = cut(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
@@ -228,7 +265,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Rows that repeat an id and its text count as one document and stay together. Columns stay as they are.
     """
-    groups = near_duplicates(docs, shingle, similarity)
+    plain, names = shield(docs, "doc_id", "text")
+    groups = near_duplicates(plain, shingle, similarity)
     gone = cut(groups.where("doc <> root_doc or mark <> root_mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "duplicates")
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_mark": F.xxhash64("text")})
-    return keyed.join(gone, ["_doc", "_mark"], "left_anti").select(*docs.columns)
+    keyed = plain.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_mark": F.xxhash64("text")})
+    inside, outside = split_by_keys(keyed, F.xxhash64("_doc", "_mark"), gone.select(F.xxhash64("_doc", "_mark").alias("key")))
+    stay = inside.join(gone, ["_doc", "_mark"], "left_anti").select(*plain.columns)
+    return stay.union(outside.select(*plain.columns)).toDF(*names)
