@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: a small file is one partition, and every read becomes dozens of bases.
+
+    Input of at least as many partitions as cores stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def make_reads(rows: DataFrame) -> DataFrame:
     """Reads from rows (k, c): one read a row."""
     k, c = F.col("k"), F.col("c")
@@ -46,7 +55,7 @@ def make_reads(rows: DataFrame) -> DataFrame:
 
 def rna_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One read an order, samples by order key."""
-    return make_reads(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")))
+    return make_reads(spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))))
 
 
 def one_sample(reads: DataFrame) -> DataFrame:
@@ -56,7 +65,7 @@ def one_sample(reads: DataFrame) -> DataFrame:
 
 def dna_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One read an event."""
-    return one_sample(make_reads(table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("user_id").alias("c"))))
+    return one_sample(make_reads(spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("user_id").alias("c")))))
 
 
 def reference_base(rno: Column, pos0: Column) -> Column:
