@@ -4,8 +4,9 @@ One 64-bit fingerprint can't tell a similarity of 0.8: such texts differ in some
 for any covering code. So a text has a sketch of SKETCH_WORDS x 64 bits, of which each of TABLES tables
 draws 46. A table's anchors are the words of the doubled Golay code; a sketch goes to the anchors of all
 points within one bit of its draw, and texts that meet at an anchor are compared, first by 64 bits, then by the
-sketch, then, unless the sketch is clear, by their shingles. At an anchor each text is compared with the
-first and with the few before it in order, so no anchor makes pairs in the square of its size.
+sketch, then, unless the sketch is clear, by their shingles. At an anchor with few texts each is compared
+with each by 64 bits. The texts of a crowded anchor meet their whole sketches and are dealt to cells of bounded
+size, in which each is compared with each; of what is surely near a cell gives a forest of links only.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .covering import covering
 from .simhash import shingle_hashes
 
 SKETCH_WORDS, TABLES, DRAWN = 16, 16, 46
-#: Sketches that a map task compares at once; neighbours at an anchor with which a text is compared.
-BLOCK, NEIGHBOURS = 2048, 8
+#: Sketches that a map task compares at once; texts of an anchor that isn't crowded; about half the texts of a cell.
+BLOCK, CROWD, CELL = 2048, 64, 512
 #: Sketches of texts at a similarity s differ in a share acos(2 s / (1 + s)) / pi of the bits. So many standard
 #: deviations from that for the threshold they are clear, if the texts have CLEAR_SHINGLES.
 CLEAR, CLEAR_SHINGLES = 3.5, 32
@@ -92,22 +93,26 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, apart: int) -> np.ndarray:
-    """Pairs of nodes at the same key: each with the nearest by word of the first there and those just
-    before it, if they differ by at most `apart` bits. So there are no more pairs than rows.
-    """
+    """All pairs of nodes at the same key (ascending) whose words differ by at most `apart` bits."""
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
-    first = np.nonzero(new)[0][np.cumsum(new) - 1]
-    here = np.arange(len(keys))
-    best, partner = np.full(len(keys), 65, dtype=np.uint8), here.copy()
-    for step in range(NEIGHBOURS + 1):
-        other = here - step if step else first
-        ok = (other >= first) & (other < here)
-        far = np.where(ok & (nodes != nodes[other]), np.bitwise_count(words ^ words[other]), 65)
-        partner = np.where(far < best, other, partner)
-        best = np.minimum(best, far)
-    near = best <= apart
-    return np.unique(np.sort(np.stack([nodes[near], nodes[partner[near]]], 1), axis=1), axis=0)
+    place = np.arange(len(keys)) - np.nonzero(new)[0][np.cumsum(new) - 1]
+    here, step, out = np.nonzero(place)[0], 1, [np.empty((0, 2), dtype=np.int64)]
+    while len(here):
+        near = here[np.bitwise_count(words[here] ^ words[here - step]) <= apart]
+        out.append(np.stack([nodes[near], nodes[near - step]], 1))
+        step += 1
+        here = here[place[here] >= step]
+    pairs = np.sort(np.concatenate(out), axis=1)
+    return np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each sketch of a (rows of words) and each of b."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for x, y in zip(a.T, b.T):
+        out += np.bitwise_count(x[:, None] ^ y[None, :])
+    return out
 
 
 def clear_bits(similarity: float, sign: int, bits: int = 64 * SKETCH_WORDS) -> float:
@@ -118,7 +123,7 @@ def clear_bits(similarity: float, sign: int, bits: int = 64 * SKETCH_WORDS) -> f
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     """(u, v, sure) of nodes (node, sketch, n) that meet at an anchor and look near; sure ones need no check."""
-    sure_bits, far_word = clear_bits(similarity, -1), int(clear_bits(similarity, 1, 64))
+    sure_bits, far_sketch, far_word = clear_bits(similarity, -1), clear_bits(similarity, 1), int(clear_bits(similarity, 1, 64))
     draws = _draws()
 
     def block(batches: list[pa.RecordBatch]) -> pa.Table:
@@ -166,36 +171,96 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             yield from block(held).combine_chunks().to_batches(1 << 16)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, carry = [], 0, None
-
-        def settle() -> pa.RecordBatch:
-            nonlocal carry
-            t = pa.Table.from_batches(held)
-            key, node, word = np.asarray(t["key"]), np.asarray(t["node"]), np.asarray(t["word"])
+        """Pairs at small anchors and known links as (u, v, sure); members of crowded anchors as (key, node, null)."""
+        empty = np.empty(0, dtype=np.int64)
+        held, size, carry, crowded = [], 0, (empty, empty, empty), None
+
+        def settle(last: bool) -> pa.RecordBatch:
+            nonlocal carry, crowded
+            cols = [[np.asarray(b[c]) for b in held] for c in ("key", "node", "word")]
+            key, node, word = (np.concatenate([c, *x]) for c, x in zip(carry, cols))
             link = key < 0
             known = np.stack([node[link], word[link]], 1)
             key, node, word = key[~link], node[~link], word[~link]
-            if carry is not None and len(key):
-                key, node, word = (np.concatenate(x) for x in zip(carry, (key, node, word)))
-            pairs = _meet(key, node, word.view(np.uint64), far_word) if len(key) else known[:0]
-            if len(key):  # the first of the last key, and its last neighbours
-                at = int(np.searchsorted(key, key[-1]))
-                stay = np.unique(np.concatenate(([at], np.arange(max(at, len(key) - NEIGHBOURS), len(key)))))
-                carry = key[stay], node[stay], word[stay]
-            both = np.concatenate((pairs, known))
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.arange(len(both)) >= len(pairs))], ["u", "v", "sure"])
+            _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+            crowd = counts[back] > CROWD if len(key) else np.zeros(0, dtype=bool)
+            if crowded is not None:
+                crowd |= key == crowded
+            stay = np.zeros(len(key), dtype=bool)
+            if len(key) and not last:  # the last key may go on
+                if crowd[-1]:
+                    crowded = key[-1]
+                else:
+                    stay = key == key[-1]
+            carry = key[stay], node[stay], word[stay]
+            few = ~crowd & ~stay
+            pairs = _meet(key[few], node[few], word[few].view(np.uint64), far_word)
+            many = np.stack([key[crowd], node[crowd]], 1)
+            rows = np.concatenate((pairs, known, many))
+            at = np.arange(len(rows))
+            sure = pa.array((at >= len(pairs)) & (at < len(pairs) + len(known)), mask=at >= len(pairs) + len(known))
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), sure], ["u", "v", "sure"])
 
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size >= 1 << 17:
-                yield settle()
+                yield settle(False)
                 held, size = [], 0
+        yield settle(True)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Near pairs of each cell (key, x, y), whose rows come together: those of part x with those of part y."""
+
+        def cell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            node, part, large = np.asarray(t["node"]), np.asarray(t["part"]), np.asarray(t["n"]) >= CLEAR_SHINGLES
+            words = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype="<u8").reshape(t.num_rows, -1)
+            x, y = t["x"][0].as_py(), t["y"][0].as_py()
+            left, right = np.nonzero(part == x)[0], np.nonzero(part == y)[0]
+            sure, doubt = [np.empty((2, 0), dtype=np.int64)], [np.empty((2, 0), dtype=np.int64)]
+            for at in range(0, len(left), CELL):
+                own = left[at : at + CELL]
+                for to in range(0, len(right), CELL):
+                    other = right[to : to + CELL]
+                    bits = _apart(words[own], words[other])
+                    i, j = np.nonzero(bits <= far_sketch)
+                    clear, i, j = bits[i, j] <= sure_bits, own[i], other[j]
+                    good = i < j if x == y else np.ones(len(i), dtype=bool)
+                    clear &= large[i] & large[j]
+                    sure.append(np.stack([i, j])[:, good & clear])
+                    doubt.append(np.stack([i, j])[:, good & ~clear])
+            least = _forest(len(node), *np.concatenate(sure, axis=1))
+            i, j = np.concatenate(doubt, axis=1)
+            open_ = least[i] != least[j]  # the others are linked already
+            own = np.nonzero(least != np.arange(len(node)))[0]
+            u, v = np.concatenate((own, i[open_])), np.concatenate((least[own], j[open_]))
+            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.arange(len(u)) < len(own))], ["u", "v", "sure"])
+
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("key", "x", "y")], 1)
+            edges = np.nonzero(np.r_[True, (name[1:] != name[:-1]).any(1)])[0]
+            for a, b in zip(edges, np.r_[edges[1:], len(name)]):
+                if held and tuple(name[a]) != now:
+                    yield cell(held)
+                    held = []
+                now = tuple(name[a])
+                held.append(batch.slice(a, b - a))
         if held:
-            yield settle()
+            yield cell(held)
 
+    pair = "u long, v long, sure boolean"
     rows = nodes.select("node", "sketch", "n").mapInArrow(replicate, "key long, node long, word long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "u long, v long, sure boolean")
+    met = cut(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, pair), "met")
+    crowd = met.where("sure is null").select(F.col("u").alias("key"), F.col("v").alias("node"))
+    parts = crowd.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    members = crowd.join(parts, "key").join(nodes.select("node", "sketch", "n"), "node").withColumn("part", F.expr("pmod(xxhash64(node, 7), parts)").cast("int"))
+    cells = members.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "node", "sketch", "n")
+    close = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(compare, pair)
+    pairs = met.where("sure is not null").union(close)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sure").where("u < v").groupBy("u", "v").agg(F.max("sure").alias("sure"))
 
 
