@@ -1,12 +1,13 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A hash deals each source's documents to permuted blocks. What the mix takes of a source is whole passes
-over it, then the first documents in permuted order, the last of them in part. The blocks are dealt to
-the output shards by a binary tree: at every node the left half of the shards gets an exact
-multivariate-hypergeometric draw from the node's block quotas, so each block goes to one shard and
-every shard is a random sample of the mix. A shard draws its run of each source's permuted blocks,
-and the hash orders what it has. All of it is DataFrame functions; texts are never shuffled, and what
-is joined to the documents is one row a source.
+over it, then the first documents in permuted order, the last of them in part. So a source has two kinds of
+blocks: the first, taken once more than the others, and the others, taken by the whole passes only. The
+blocks of each kind that the mix takes are quotas of their own and are dealt to the output shards by a binary
+tree: at every node the left half of the shards gets an exact multivariate-hypergeometric draw from the node's
+block quotas, so each block goes to one shard and every shard is a random sample of the mix. A shard draws
+its run of the permuted blocks of each kind, and the hash orders what it has. All of it is DataFrame functions; what
+is joined to the documents is one row a source, and texts are shuffled only to order the mix itself.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, documents, n_words, only, shield
 
-#: Documents of a block (about; small sources have four blocks a shard); shards of the production query.
-BLOCK_DOCS, SHARDS = 1024, 16
+#: Documents of a block (about); least blocks a shard of a source; shards of the production query.
+BLOCK_DOCS, SHARD_BLOCKS, SHARDS = 1024, 64, 16
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Draws are made among the counts within so many standard deviations of the mean.
 DEVIATIONS = 12
@@ -102,10 +103,11 @@ def plan_mix(sized: DataFrame, share: float, most: float, shards: int, seed: int
     """What the mix takes of each source, one row a source, from columns source, _size and _key.
 
     full: passes over the whole source; the rest is the documents before (cut_block, cut_key) in
-    permuted order, and cut_words words of the document there.
+    permuted order, and cut_words words of the document there. first: blocks up to the cut's, 0 without one;
+    first_ends and other_ends: how they and the others are dealt.
     """
     totals = sized.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_docs"))
-    aims = targets(totals, share, most).withColumn("_n", F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.lit(4 * shards)))
+    aims = targets(totals, share, most).withColumn("_n", F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.lit(SHARD_BLOCKS * shards)))
     aims = aims.withColumn("quota", F.round("target").cast("long")).withColumn("full", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0).cast("long")))
     aims = cut(aims.withColumn("rest", F.col("quota") - F.col("full") * F.col("source_size")), "targets")
     placed = sized.join(aims.select(F.col("source").alias("_s"), "turn", "_n", "rest"), F.col("source").eqNullSafe(F.col("_s"))).select("turn", "rest", "_size", "_key", block_of("_n").alias("_block"))
@@ -116,8 +118,13 @@ def plan_mix(sized: DataFrame, share: float, most: float, shards: int, seed: int
     inside = placed.join(last, (F.col("turn") == F.col("_turn")) & (F.col("_block") == F.col("cut_block"))).select("turn", "cut_block", "left", "_key", "_size")
     inside = inside.withColumn("upto", F.sum("_size").over(Window.partitionBy("turn").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)))
     edge = inside.where("upto > left and upto - _size <= left").select("turn", "cut_block", F.col("_key").alias("cut_key"), (F.col("left") - F.col("upto") + F.col("_size")).alias("cut_words"))
-    dealt = split(aims.select("turn", F.col("_n").cast("long").alias("blocks")), shards, seed)
-    return aims.select("source", "source_size", "target", "turn", "_n", "full").join(edge, "turn", "left").join(dealt, "turn", "left")
+    plan = aims.select("source", "source_size", "target", "turn", "_n", "full").join(edge, "turn", "left")
+    plan = cut(plan.withColumn("first", F.coalesce(F.col("cut_block") + 1, F.lit(0)).cast("long")), "edges")
+    others = F.when(F.col("full") > 0, F.col("_n").cast("long") - F.col("first")).otherwise(F.lit(0).cast("long"))
+    kinds = F.array(F.struct((2 * F.col("turn")).alias("turn"), F.col("first").alias("blocks")), F.struct((2 * F.col("turn") + 1).alias("turn"), others.alias("blocks")))
+    dealt = split(plan.select(F.inline(kinds)), shards, seed).select((F.col("turn") / 2).cast("int").alias("turn"), (F.col("turn") % 2).alias("kind"), "ends")
+    ends = dealt.groupBy("turn").agg(F.max(F.when(F.col("kind") == 0, F.col("ends"))).alias("first_ends"), F.max(F.when(F.col("kind") == 1, F.col("ends"))).alias("other_ends"))
+    return plan.join(ends, "turn", "left")
 
 
 def block_of(n):
@@ -129,7 +136,8 @@ def take(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = S
     """docs (doc_id, text, source, maybe more) with columns _size, _source_size, _target, _taken, _shard, _key.
 
     _size: words of the text, 0 for null. Rows equal in id and text are taken alike; a null id or source
-    is a value like another. Within a shard, order by _key is the shuffle. Empty tables give none.
+    is a value like another. Within a shard, order by _key is the shuffle. Blocks that the mix takes nothing of
+    go to the shards in turn. Empty tables give none.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
     sized = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", key)
@@ -139,14 +147,17 @@ def take(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = S
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))).withColumn("_block", block_of("_plan_n"))
     here, edge = F.struct("_block", "_key"), F.struct("_plan_cut_block", "_plan_cut_key")
     more = F.when(F.col("_plan_cut_key").isNull(), F.lit(0)).when(here < edge, F.col("_size")).when(here == edge, F.col("_plan_cut_words")).otherwise(F.lit(0))
-    shard = F.size(F.filter("_plan_ends", lambda e: e <= F.col("_block")))
+    rank = F.col("_block") - F.col("_plan_first")
+    shard = F.when(rank < 0, F.size(F.filter("_plan_first_ends", lambda e: e <= F.col("_block"))))
+    shard = shard.when(F.col("_plan_full") > 0, F.size(F.filter("_plan_other_ends", lambda e: e <= rank))).otherwise(F.col("_block") % shards).cast("int")
     return out.withColumn("_taken", F.col("_plan_full") * F.col("_size") + more).withColumn("_shard", shard).withColumns({"_source_size": F.col("_plan_source_size"), "_target": F.col("_plan_target")}).drop("_block", *plan.columns)
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mix itself: each document as often as it is taken, a part of it as its first words.
 
-    Columns are those of docs. A document without words is kept once if its source is taken in whole.
+    Columns are those of docs. Rows come shard by shard, and in a shard by _key: the order of the output's
+    partitions is the order of the mix. A document without words is kept once if its source is taken in whole.
     """
     plain, names = shield(docs, "doc_id", "text", "source", "n_chars")
     took = take(plain, share, most, shards, seed)
@@ -159,7 +170,8 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int =
     out = {"text": text}
     if "n_chars" in plain.columns:
         out["n_chars"] = F.when(F.col("_cut"), F.length(words).cast(plain.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*names)
+    rows = rows.select(*[out.get(c, F.col(c)).alias(c) for c in plain.columns], "_shard", "_key")
+    return rows.repartitionByRange("_shard", "_key").sortWithinPartitions("_shard", "_key").select(*plain.columns).toDF(*names)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

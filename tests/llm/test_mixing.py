@@ -55,6 +55,24 @@ def test_odd_rows(docs_of, odd_texts, spark):
     assert all(r._taken == 0 and r._target == 0 for r in mixing.take(only(docs_of([None, ""]), "doc_id", "text", "source")).collect())
 
 
+@pytest.mark.parametrize("share", [0.75, 1.5])
+def test_every_shard_has_the_mix(spark, share):
+    rows = spark.range(48000).select(F.col("id").alias("doc_id"), F.lit("w x y z").alias("text"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
+    got = mixing.take(rows, share).groupBy("source", "_shard").agg(F.sum("_taken").alias("taken"), F.first("_target").alias("target")).collect()
+    taken = {(r.source, r._shard): r.taken / (r.target / mixing.SHARDS) for r in got}
+    assert len(taken) == 3 * mixing.SHARDS
+    for s in "abc":
+        own = [taken[s, x] for x in range(mixing.SHARDS)]
+        assert sum(own) == pytest.approx(mixing.SHARDS, abs=0.01) and 0.4 < min(own) and max(own) < 1.8, own
+
+
+def test_the_mix_is_in_order_of_its_shards(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w x "), F.col("id")).alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    place = {r.doc_id: (r._shard, r._key) for r in mixing.take(rows).collect()}
+    out = [place[r.doc_id] for r in mixing.mixed(rows).collect()]
+    assert out == sorted(out) and len({s for s, _ in out}) == mixing.SHARDS
+
+
 def test_tree_deals_exact_quotas(spark):
     quotas = [7, 100, 0, 1, 4000]
     df = spark.createDataFrame(list(enumerate(quotas)), "turn int, blocks long")
