@@ -1,15 +1,17 @@
 """What the text operators share: work tables in the cluster's shared folder, and batch helpers.
 
 Work tables are Parquet under the folder that ``spark.checkpoint.dir`` names, so that any executor
-can be lost without losing them. Only where that setting is absent (tests, a laptop) a folder below
-the warehouse is taken.
+can be lost without losing them. Only in local mode (tests, a laptop), where driver and executors are one
+process, may that setting be absent; then a folder below the warehouse is taken.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ BATCH_ROWS = 512
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work").rstrip("/")
 
 
@@ -55,6 +59,77 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return stored(df, what)[0]
 
 
+class Scratch:
+    """The work tables of one call: made by it, and removed when its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def cut(self, df: DataFrame, what: str) -> DataFrame:
+        """df as a work table."""
+        out, path = stored(df, what)
+        self.paths.append(path)
+        return out
+
+    def bucketed(self, df: DataFrame, what: str, key: str, n: int) -> DataFrame:
+        """df as a work table in n buckets by key: joins on it with other such tables don't shuffle.
+
+        Rows lie in row groups of a few MB, so that rows with large values are read a few at a time.
+        """
+        path = work_path(self.spark, what)
+        name = "pilespan_" + path.rsplit("-", 1)[1]
+        small = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "compression": "zstd", "path": path}
+        df.write.bucketBy(n, key).options(**small).saveAsTable(name)
+        self.paths.append(path)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def last(self, df: DataFrame, what: str) -> DataFrame:
+        """df stored as the call's result; all tables before it go."""
+        out = cut(df, what)
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            remove(self.spark, path)
+        return out
+
+
+def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order-sensitive 64-bit hash of two hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ b
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned integers, each as its length, its width and its bytes by significance.
+
+    Zeros in the high bytes are left out or lie together, so small values compress well.
+    """
+    out = []
+    for x in columns:
+        x = np.ascontiguousarray(x, dtype="<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        planes = x.view(np.uint8).reshape(-1, 8)[:, :width]
+        out += [len(x).to_bytes(8, "little"), bytes([width]), np.ascontiguousarray(planes.T).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The columns that packed() was given."""
+    raw, out, at = np.frombuffer(data, dtype=np.uint8), [], 0
+    while at < len(raw):
+        n, width = int.from_bytes(raw[at : at + 8].tobytes(), "little"), int(raw[at + 8])
+        at += 9
+        x = np.zeros((n, 8), dtype=np.uint8)
+        if width:
+            x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(x.view("<u8").ravel())
+        at += n * width
+    return out
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]) -> DataFrame:
     """mapInArrow with a function from one batch to one table."""
 

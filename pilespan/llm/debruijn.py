@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, only, shield, small_batches, split_by_keys, texts_of
+from .common import cut, documents, mix64, only, shield, small_batches, split_by_keys, texts_of
 
 #: Words of the windows inside a k-word window from which its minimizer is taken.
 INNER = 4
@@ -37,25 +37,17 @@ RUNS = "doc long, words int, at long, key long, edges binary"
 PATHS = "doc long, mark long, start long, words long, source long, source_start long"
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """An order-sensitive 64-bit hash of two hashes."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) ^ b
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(32)
-
-
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k hashes from each place on (the last k - 1 places have none)."""
     power, width, out, have = words, 1, None, 0
     while True:
         if k & width:
-            out = power if out is None else _mix(out[: len(out) - width] if len(out) > width else out[:0], power[have:])
+            out = power if out is None else mix64(out[: len(out) - width] if len(out) > width else out[:0], power[have:])
             n = max(0, len(words) - have - width + 1)
             out, have = out[:n], have + width
         if have == k:
             return out
-        power = _mix(power[:-width] if len(power) > width else power[:0], power[width:])
+        power = mix64(power[:-width] if len(power) > width else power[:0], power[width:])
         width *= 2
 
 
@@ -121,7 +113,7 @@ def _block(docs: list[tuple[int, int, np.ndarray]], k: int) -> pa.Table:
         x = a[done]
         coordinates = np.stack([ids[source[x]], place[first[x]]], 1).astype("<i8")
         flat = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(coordinates))])
-        spread = _mix(ids[which[x]].view(np.uint64), place[x].astype(np.uint64)).view(np.int64)
+        spread = mix64(ids[which[x]].view(np.uint64), place[x].astype(np.uint64)).view(np.int64)
         out.append(pa.table({"doc": ids[which[x]], "words": pa.array((b[done] - x + k - 1).astype(np.int32)), "at": place[x] << 32 | marks[which[x]], "key": spread, "edges": flat}))
     return pa.concat_tables(out)
 
@@ -152,7 +144,7 @@ def _meet(t: pa.Table, carry: tuple | None, k: int) -> tuple[pa.Table, tuple | N
             skip = len(carry[0])
             key, edge, doc, place = (np.concatenate(x) for x in zip(carry, (key, edge, doc, place)))
             row, mark = np.concatenate((np.full(skip, -1), row)), np.concatenate((np.zeros(skip, np.int64), mark))
-        first = _first(_mix(edge, key.view(np.uint64)), key)
+        first = _first(mix64(edge, key.view(np.uint64)), key)
         repeats = (doc[first] < doc) & (row >= 0)
         source, away = doc[first], place - place[first]
         change = np.ones(len(edge), dtype=bool)

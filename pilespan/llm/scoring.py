@@ -1,35 +1,46 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is an n-gram model with absolute discounts. Every word's count is taken over the whole
-training corpus. Words, and n-grams of them, that make up at least a given share of its tokens become
-states of an automaton: a share bounds their number whatever the corpus. An arc carries a
-word's log-probability, a failure arc the backoff weight; a document is scored in one traversal from
-left to right that carries the state and adds up the weights. A rarer word falls to the root, and its
-unigram probability comes by a join of words with counts, since all words fit in no task.
+The model has words, bigrams and trigrams with absolute discounts, interpolated with the next shorter context.
+Its counts are exact and cover the whole training corpus: a bigram or trigram is in the model from MIN_COUNT
+occurrences on, whatever the size of the corpus, and every word is. No task ever holds the model. Texts are cut up
+into blocks; a block asks for the counts of its own n-grams, which meet those of all other blocks in buckets
+of their hashes, and the answers come home to the block. From them the block builds the part of the automaton that
+its texts can reach: states are contexts, an arc carries a word's log-probability, a failure arc the
+backoff weight, and each text is scored in one traversal from left to right that carries the state.
+
+Trigrams are asked for only if both their bigrams are in the model; no other can be. Words with all their
+contexts meet under the context's hash; a context with very many occurrences is split by the word's hash, by a rule that
+follows from the context's exact count, so all blocks split it alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from .common import cut, documents, map_batches, only, shield, small_batches, stored, texts_of
+from .common import Scratch, documents, mix64, only, packed, texts_of, unpacked
 from .language import remainder
 
-#: Longest n-grams; discount of every count; least share of the tokens that words and n-grams in the
-#: automaton make up (so at most 1 / share of each length).
-ORDER, DISCOUNT, WORD_SHARE, NGRAM_SHARE = 3, 0.5, 2e-6, 1e-5
+#: Discount of every count; least count of a bigram or trigram in the model.
+DISCOUNT, MIN_COUNT = 0.5, 2
 #: Columns that scores() makes; columns of the same names give way.
-MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-#: Bytes of text whose n-grams are counted at once.
-BLOCK_BYTES = 8 << 20
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score")
+#: Bytes of text in a block; tokens of the corpus for a bucket of keys; occurrences of a context for each part of it (as a power of two).
+BLOCK_BYTES, BUCKET_TOKENS, PART_BITS = 8 << 20, 1 << 18, 20
+#: The hash that stands for the end, which also stands before a text.
+END = np.uint64(0x9D5C6E3F20B7A481)
+#: What is asked for: counts of words, counts of bigrams, what follows words, what follows bigrams.
+WORDS, BIGRAMS, AFTER_WORDS, AFTER_BIGRAMS = range(4)
+ASKED = "block long, kind int, bucket long, data binary"
+ANSWERED = ASKED + ", types long"
+CHILD = np.uint64((1 << 40) - 1)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -38,243 +49,362 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    held, size = [], 0
-    for batch in batches:
-        for text in texts_of(batch):
-            held.append(word_hashes(text))
-            size += len(text)
-            if size >= BLOCK_BYTES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _block(texts: list[np.ndarray], learnt: list[bool]) -> bytes:
+    """Texts as one value: their sizes, whether they are learnt from, the words' hashes, and each word's place among them."""
+    vocabulary, ids = np.unique(np.concatenate([*texts, [END]]), return_inverse=True)
+    return packed([len(t) for t in texts], learnt, np.diff(vocabulary, prepend=np.uint64(0)), ids[:-1])
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c): the hash and count of every word of column text."""
-    small_batches(train.sparkSession)
+class Block:
+    """The n-grams of a block's texts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            word, c = np.unique(np.concatenate(block), return_counts=True)
-            if len(word):
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], ["word", "c"])
+    words: hashes, ascending, the end's included. row: the text of each token, token: its word (the words of a text, then
+    the end). bigrams: hashes, ascending, with the places first and last of their words; bigram: that of each token with
+    the one before it.
+    """
 
-    return train.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def __init__(self, data: bytes):
+        sizes, learnt, steps, ids = unpacked(data)
+        self.words = np.cumsum(steps, dtype=np.uint64)
+        self.end = int(np.searchsorted(self.words, END))
+        n = sizes.astype(np.int64) + 2  # with the end before and after
+        self.starts = np.cumsum(n) - n
+        stream = np.full(int(n.sum()), self.end, dtype=np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        inner = np.ones(len(stream), dtype=bool)
+        inner[self.starts] = False
+        at = np.nonzero(inner)[0]
+        words = np.ones(len(stream), dtype=bool)
+        words[self.starts] = words[self.starts + n - 1] = False
+        stream[words] = ids.astype(np.int64)
+        self.stream, self.ends = stream, self.starts + n
+        self.row, self.token, self.learnt = row[at], stream[at], learnt.astype(bool)[row[at]]
+        self.before = stream[at - 1]
+        self.word_counts = np.bincount(self.token[self.learnt], minlength=len(self.words))
+        key = mix64(self.words[self.before], self.words[self.token])
+        self.bigrams, self.bigram = np.unique(key, return_inverse=True)
+        self.bigram_counts = np.bincount(self.bigram[self.learnt], minlength=len(self.bigrams))
+        self.first, self.last = (np.zeros(len(self.bigrams), dtype=np.int64) for _ in range(2))
+        self.first[self.bigram], self.last[self.bigram] = self.before, self.token
+
+    def trigrams(self, counts: np.ndarray, least: int) -> Trigrams:
+        return Trigrams(self, counts, least)
+
+
+class Trigrams:
+    """A block's trigrams whose bigrams have the least count, under the parts of their contexts.
+
+    contexts: the bigrams with the least count that don't end a text; part_keys: hashes of their parts, ascending;
+    part_of: the place in contexts of each part. child: 40 bits of hash of each trigram; below: its part; ascending by
+    both. context and after: the bigrams that it consists of; counts: in the block's texts that are learnt from.
+    """
 
+    def __init__(self, block: Block, counts: np.ndarray, least: int):
+        known = counts >= least
+        self.contexts = np.nonzero(known & (block.last != block.end))[0]
+        parts = 1 + (counts[self.contexts] >> PART_BITS)
+        part_of = np.repeat(np.arange(len(parts)), parts)
+        number = np.arange(len(part_of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        keys = block.bigrams[self.contexts][part_of]
+        keys = np.where(number == 0, keys, mix64(keys, number.astype(np.uint64)))
+        order = np.argsort(keys, kind="stable")
+        self.part_keys, self.part_of = keys[order], part_of[order]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        # tokens whose bigram and the one before it, in the same text, are known
+        here = np.nonzero(known[block.bigram])[0]
+        here = here[here > 0]
+        here = here[(block.row[here] == block.row[here - 1]) & known[block.bigram[here - 1]]]
+        context, after = block.bigram[here - 1], block.bigram[here]
+        keys, of = np.unique(mix64(block.bigrams[context], block.words[block.token[here]]), return_inverse=True)
+        found = np.bincount(of[block.learnt[here]], minlength=len(keys))
+        own, then = (np.zeros(len(keys), dtype=np.int64) for _ in range(2))
+        own[of], then[of] = context, after
+        place = np.searchsorted(self.contexts, own)
+        child = keys & CHILD
+        below = rank[(np.cumsum(parts) - parts)[place] + (child % parts[place].astype(np.uint64)).astype(np.int64)] if len(keys) else np.zeros(0, dtype=np.int64)
+        by = np.lexsort((child, below))
+        self.child, self.below, self.context, self.after, self.counts = child[by], below[by], own[by], then[by], found[by]
+
+
+def _buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of ascending keys with the same first bits."""
+    of = (keys >> np.uint64(64 - bits)) if bits else np.zeros(len(keys), dtype=np.uint64)
+    edges = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0] if len(keys) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(edges, np.r_[edges[1:], len(keys)]):
+        yield int(of[a]), int(a), int(b)
+
+
+def _asked(block: int, kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> list[tuple]:
+    """Rows that ask for the sums of values under keys."""
+    return [(block, kind, bucket, packed(np.diff(keys[a:b], prepend=np.uint64(0)), *(v[a:b] for v in values))) for bucket, a, b in _buckets(keys, bits)]
+
+
+def _rows(rows: list[tuple], answers: bool = False) -> pa.RecordBatch:
+    types = pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()
+    names = [x.split()[0] for x in ANSWERED.split(", ")]
+    n = 5 if answers else 4
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(n)], names[:n])
+
+
+def _sums(parts: list[tuple], kind: int) -> list[tuple]:
+    """Answers of one bucket: for each part the sums over all parts under its keys.
+
+    Counts are answered as twice the sum, plus one for the first part that has the key, so that each key has
+    one owner. Each part's rows come back in the part's order.
+    """
+    asked = [unpacked(p[3]) for p in parts]
+    keys, first, of = np.unique(np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]), return_index=True, return_inverse=True)
+    totals = []
+    for column in range(1, len(asked[0])):
+        total = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(total, of, np.concatenate([a[column] for a in asked]).astype(np.int64))
+        totals.append(total)
+    owner = np.zeros(len(of), dtype=np.int64)
+    owner[first] = 1
+    types, out, at = int((totals[0] > 0).sum()), [], 0
+    for part, a in zip(parts, asked):
+        own = of[at : at + len(a[0])]
+        values = [2 * totals[0][own] + owner[at : at + len(own)]] if kind in (WORDS, BIGRAMS) else [t[own] for t in totals]
+        out.append((*part[:3], packed(*values), types))
+        at, types = at + len(own), 0
+    return out
 
-@dataclass
-class Words:
-    """The automaton's words by ascending hash; id n is the end, which also stands before a text."""
 
-    hashes: np.ndarray
-    counts: np.ndarray  # of the words, then of the end
+def _follow(parts: list[tuple], least: int) -> list[tuple]:
+    """Answers of one bucket of contexts: for each context of a part how many words in the model follow it and
+    how often, and for each of the part's words its count."""
+    asked = [unpacked(p[3]) for p in parts]
+    keys, of = np.unique(np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]), return_inverse=True)
+    context = np.repeat(of, np.concatenate([a[1] for a in asked]).astype(np.int64))
+    child = np.concatenate([a[2] for a in asked])
+    _, first, pair = np.unique(mix64(keys[context], child), return_index=True, return_inverse=True)
+    total = np.zeros(len(first), dtype=np.int64)
+    np.add.at(total, pair, np.concatenate([a[3] for a in asked]).astype(np.int64))
+    total[total < least] = 0
+    kinds, times = (np.zeros(len(keys), dtype=np.int64) for _ in range(2))
+    np.add.at(kinds, context[first], total > 0)
+    np.add.at(times, context[first], total)
+    out, a, b = [], 0, 0
+    for part, own in zip(parts, asked):
+        n, m = len(own[0]), len(own[2])
+        out.append((*part[:3], packed(kinds[of[a : a + n]], times[of[a : a + n]], total[pair[b : b + m]]), 0))
+        a, b = a + n, b + m
+    return out
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Ids of hashed words, -1 for a word that the automaton lacks."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
 
-    def ngrams(self, h: np.ndarray, n: int) -> np.ndarray:
-        """Keys of the n-grams of a text without rarer words, with the end before it and after it."""
-        ids = np.concatenate(([len(self.hashes)], self.ids(h), [len(self.hashes)]))
-        size = max(0, len(ids) - n + 1)
-        key, good = np.zeros(size, dtype=np.int64), np.ones(size, dtype=bool)
-        for i in range(n):
-            part = ids[i : i + size]
-            key = key * (len(self.hashes) + 1) + part
-            good &= part >= 0
-        return key[good]
+def _answered(asked: DataFrame, least: int) -> DataFrame:
+    """The rows that ask, meeting in their buckets, to rows that answer."""
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and held[0][1:3] != row[1:3]:
+                    yield _rows(settle(held), answers=True)
+                    held = []
+                held.append(row)
+        if held:
+            yield _rows(settle(held), answers=True)
 
-def ngram_counts(train: DataFrame, words: Words, tokens: int, order: int, share: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Keys and exact counts of the n-grams that become states, for each length from 2.
+    def settle(parts: list[tuple]) -> list[tuple]:
+        kind = parts[0][1]
+        return _follow(parts, least) if kind == AFTER_BIGRAMS else _sums(parts, kind)
 
-    First blocks name the n-grams that have the share in them; those whose counts there come to half
-    the share of all tokens are then counted exactly everywhere, and kept from the full share on.
-    """
-    spark = train.sparkSession
-    known = spark.sparkContext.broadcast(words)
-    lengths = [n for n in range(2, order + 1) if (len(words.hashes) + 1) ** n < 1 << 63]
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            least = share * (sum(map(len, block)) + len(block))
-            for n in lengths:
-                key, c = np.unique(np.concatenate([known.value.ngrams(h, n) for h in block]), return_counts=True)
-                often = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), n, np.int32)), pa.array(key[often]), pa.array(c[often])], ["n", "key", "c"])
-
-    named = train.select("text").mapInArrow(name, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2.0, share * tokens / 2)).select("n", "key").toPandas()
-    wanted = {n: np.sort(named["key"][named["n"] == n].to_numpy(np.int64)) for n in lengths}
-    asked = spark.sparkContext.broadcast(wanted)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = {n: np.zeros(len(keys), dtype=np.int64) for n, keys in asked.value.items()}
-        for block in _blocks(batches):
-            for n, keys in asked.value.items():
-                if len(keys):
-                    own = np.concatenate([known.value.ngrams(h, n) for h in block])
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    c[n] += np.bincount(at[keys[at] == own], minlength=len(keys))
-        for n, keys in asked.value.items():
-            seen = c[n] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(seen.sum()), n, np.int32)), pa.array(keys[seen]), pa.array(c[n][seen])], ["n", "key", "c"])
-
-    counted = train.select("text").mapInArrow(count, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2.0, share * tokens)).toPandas()
-    out = {}
-    for n in lengths:
-        own = counted[counted["n"] == n].sort_values("key")
-        out[n] = own["key"].to_numpy(np.int64), own["c"].to_numpy(np.int64)
-    return out
+    return asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(answer, ANSWERED)
+
+
+def _of_kind(answers: list[dict], kind: int, columns: int) -> list[np.ndarray]:
+    """The columns that answer a block's question, in the order of its keys."""
+    found = [unpacked(x["data"]) for x in answers if x["kind"] == kind]
+    return [np.concatenate([f[i] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64) for i in range(columns)]
 
 
 class Automaton:
-    """States with arcs {word: (next state, log10 probability)}, failure states and their weights.
+    """The part of the weighted automaton that a block's texts can reach.
 
-    State 0 is the root. `start` is the state before a text's first word.
+    State 0 is the root, state 1 + w has the context w, and state 1 + words + b the context of bigram b. An
+    arc from a state by a word has a next state and a log10 probability; where there is none, the failure arc
+    leads to the next shorter context and adds its weight. The root has an arc for every word.
     """
 
-    def __init__(self, words: Words, ngrams: dict[int, tuple[np.ndarray, np.ndarray]], tokens: int):
-        base, end = len(words.hashes) + 1, len(words.hashes)
-        self.end = end
-        grams: dict[tuple[int, ...], int] = {(w,): int(c) for w, c in enumerate(words.counts) if c > 0}
-        for n, (keys, counts) in sorted(ngrams.items()):
-            for key, c in zip(keys.tolist(), counts.tolist()):
-                parts = []
-                for _ in range(n):
-                    key, w = divmod(key, base)
-                    parts.append(w)
-                gram = tuple(reversed(parts))
-                if gram[:-1] in grams:
-                    grams[gram] = c
-        children: dict[tuple[int, ...], list[int]] = {(): []}
-        for gram in grams:
-            children.setdefault(gram[:-1], []).append(gram[-1])
-        state = {h: n for n, h in enumerate(sorted(children, key=lambda h: (len(h), h)))}
-        self.arcs: list[dict[int, tuple[int, float]]] = [{} for _ in state]
-        self.fail, self.weight = [0] * len(state), [0.0] * len(state)
-        probability: dict[tuple[int, ...], float] = {}
-
-        def longest(gram: tuple[int, ...]) -> tuple[int, ...]:
-            while gram not in state:
-                gram = gram[1:]
-            return gram
-
-        def p(h: tuple[int, ...], w: int) -> float:
-            factor = 1.0
-            while (*h, w) not in probability:
-                if h in state:
-                    factor *= 10.0 ** self.weight[state[h]]
-                h = h[1:]
-            return factor * probability[(*h, w)]
-
-        for h, s in state.items():  # shorter contexts first
-            seen = tokens if not h else grams[h]
-            mass = 0.0
-            for w in children[h]:
-                probability[(*h, w)] = share = (grams[(*h, w)] - DISCOUNT) / seen
-                mass += share
-            if h:
-                below = sum(p(h[1:], w) for w in children[h])
-                self.fail[s] = state[longest(h[1:])]
-                self.weight[s] = float(np.log10(max(1.0 - mass, 1e-12) / max(1.0 - below, 1e-12)))
-        for h, s in state.items():
-            for w in children[h]:
-                self.arcs[s][w] = state[longest((*h, w))], float(np.log10(probability[(*h, w)]))
-        self.start = state.get((end,), 0)
-        self.to_root = list(self.weight)
-        for s in range(1, len(state)):  # a failure state is shorter, so it comes first
-            self.to_root[s] += self.to_root[self.fail[s]]
-
-    def score(self, ids: list[int]) -> float:
-        """log10 probability of the words and the end; a rarer word (-1) counts its fall to the root only."""
-        arcs, fail, weight, to_root = self.arcs, self.fail, self.weight, self.to_root
+    def __init__(self, block: Block, counts: list[np.ndarray], after: list[np.ndarray], tokens: int, types: int, least: int):
+        words, bigrams = counts
+        size = self.size = len(block.words)
+        more = block.trigrams(bigrams, least)
+        kinds, times, part_kinds, part_times, found = after
+        seen = np.zeros(len(block.bigrams), dtype=np.int64)
+        other = np.zeros(len(block.bigrams), dtype=np.int64)
+        np.add.at(other, more.contexts[more.part_of], part_kinds)
+        np.add.at(seen, more.contexts[more.part_of], part_times)
+        known = bigrams >= least
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # what is left for the shorter context, and the probabilities of each length
+            left_word = np.where(words > 0, 1 - (times - DISCOUNT * kinds) / words, 1.0)
+            left_bigram = np.where(known, 1 - (seen - DISCOUNT * other) / bigrams, 1.0)
+            unigram = np.where(words > 0, (words - DISCOUNT) / tokens, DISCOUNT * types / tokens)
+            bigram = np.where(known, (bigrams - DISCOUNT) / words[block.first], 0.0) + left_word[block.first] * unigram[block.last]
+        self.root = np.log10(unigram).tolist()
+        self.fail_word, self.fail_bigram = np.log10(left_word).tolist(), np.log10(left_bigram).tolist()
+        word_state = np.where(words > 0, 1 + np.arange(size), 0)
+        self.word_state = word_state.tolist()
+        self.last_state = word_state[block.last].tolist()
+        bigram_state = np.where(known & (block.last != block.end), 1 + size + np.arange(len(known)), word_state[block.last])
+        b, t = np.nonzero(known)[0], np.nonzero(found >= least)[0]
+        trigram = (found[t] - DISCOUNT) / bigrams[more.context[t]] + left_bigram[more.context[t]] * bigram[more.after[t]]
+        source = np.concatenate((1 + block.first[b], 1 + size + more.context[t]))
+        by = np.concatenate((block.last[b], block.last[more.after[t]]))
+        self.arcs = dict(zip((source * size + by).tolist(), range(len(source))))
+        self.next = np.concatenate((bigram_state[b], bigram_state[more.after[t]])).tolist()
+        self.weight = np.log10(np.concatenate((bigram[b], trigram))).tolist()
+        self.start = self.word_state[block.end]
+
+    def score(self, words: list[int]) -> float:
+        """log10 probability of a text's words and its end."""
+        size, arcs, following, weight = self.size, self.arcs, self.next, self.weight
         state, total = self.start, 0.0
-        for w in ids:
-            if w < 0:
-                total += to_root[state]
-                state = 0
-                continue
-            arc = arcs[state].get(w)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = arcs[state].get(w)
-            state = arc[0]
-            total += arc[1]
+        for w in words:
+            while state:
+                arc = arcs.get(state * size + w)
+                if arc is not None:
+                    state = following[arc]
+                    total += weight[arc]
+                    break
+                if state > size:
+                    total += self.fail_bigram[state - size - 1]
+                    state = self.last_state[state - size - 1]
+                else:
+                    total += self.fail_word[state - 1]
+                    state = 0
+            else:
+                total += self.root[w]
+                state = self.word_state[w]
         return total
 
 
-def scores(docs: DataFrame, train, order: int = ORDER, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE) -> DataFrame:
-    """docs (doc_id, more) without text, and n_tokens, n_known, train_tokens, base_score, score.
+def _blocks(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """(block, rows, tokens, learnt, data): texts of about BLOCK_BYTES in a row, with the columns carried of their rows.
+
+    tokens: those of texts that are learnt from.
+    """
+    fields = docs.select(*carried).schema
+    schema = StructType().add("block", LongType()).add("rows", ArrayType(fields)).add("tokens", LongType()).add("data", BinaryType())
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held, texts, learnt, size = [], [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(held).combine_chunks().to_struct_array()
+            rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            tokens = sum(len(t) + 1 for t, x in zip(texts, learnt) if x)
+            out = pa.RecordBatch.from_arrays([pa.array([number]), lists, pa.array([tokens]), pa.array([_block(texts, learnt)], pa.binary())], ["block", "rows", "tokens", "data"])
+            number += 1
+            return out
+
+        for batch in batches:
+            marks, since = batch.column("_learn").to_pylist(), 0
+            own = batch.select(carried)
+            for at, text in enumerate(texts_of(batch)):
+                texts.append(word_hashes(text))
+                learnt.append(marks[at])
+                size += len(text) + 8
+                if size >= BLOCK_BYTES:
+                    held.append(own.slice(since, at + 1 - since))
+                    yield emit()
+                    held, texts, learnt, size, since = [], [], [], 0, at + 1
+            if since < batch.num_rows:
+                held.append(own.slice(since))
+        if texts:
+            yield emit()
+
+    return docs.select(*carried, "_learn", "text").mapInArrow(cut_up, schema)
+
+
+def scores(docs: DataFrame, train, least: int = MIN_COUNT) -> DataFrame:
+    """docs (doc_id, more) without text, and n_tokens, n_known, train_tokens, base_score, score, mean_score.
 
     train: a Boolean column; the model learns from rows where it is true. Tokens of a text are its words, A-Z
-    in lower case, then one end; a null text has the end only. base_score: add-one unigrams, with one more type for
-    what training lacks. Without training rows both scores are 0. Repeated rows get the same scores;
-    empty tables give none.
+    in lower case, then one end; a null or empty text has the end only. base_score: add-one unigrams, with one more
+    type for what training lacks. mean_score: score by token. Without training rows all scores are 0. Repeated rows
+    get the same scores, and scores don't depend on how rows are partitioned; empty tables give none. A very long text is
+    a block of its own, and a task holds one block with its n-grams.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    docs, names = shield(docs.select("*", F.coalesce(train, F.lit(False)).alias("_learn")), "doc_id", "text")
-    learnt = docs.where(docs.columns[-1]).select("text")
-    counts, _ = stored(word_counts(learnt), "words")
-    texts = learnt.select(F.count("*").alias("n")).first()["n"]
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    tokens, types = int(total["tokens"]) + texts, int(total["types"]) + (texts > 0)
-    often = counts.where(F.col("c") >= max(2.0, word_share * tokens)).toPandas()  # at most 1 / word_share rows
-    hashes, c = often["word"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)
-    by = np.argsort(hashes)
-    words = Words(hashes[by], np.append(c[by], texts))
-    model = spark.sparkContext.broadcast((words, Automaton(words, ngram_counts(learnt, words, tokens, order, ngram_share), tokens) if tokens else None))
-    carried = {x: n for x, n in zip(docs.columns[:-1], names) if x != "text" and n.lower() not in MADE}
-    schema = docs.select(*carried).schema.add("_row", "long").add("n_tokens", "long").add("_often", "long").add("_base", "double").add("_score", "double").add("_rare", ArrayType(LongType())).add("_times", ArrayType(IntegerType()))
-
-    def traverse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, automaton = model.value
-        logs = np.log10(words.counts + 1.0)
-        n, often, base, score, rare, times = [], [], [], [], [], []
-        for text in texts_of(batch):
-            h = word_hashes(text)
-            ids = np.append(words.ids(h), len(words.hashes))
-            there = ids[ids >= 0]
-            n.append(len(ids))
-            often.append(len(there) if automaton else 0)
-            base.append(float(logs[there].sum()) if automaton else 0.0)
-            score.append(automaton.score(ids.tolist()) if automaton else 0.0)
-            lone, again = np.unique(h[ids[:-1] < 0], return_counts=True)
-            rare.append(lone.view(np.int64))
-            times.append(again.astype(np.int32))
-        own = [batch.column(x) for x in [*carried, "_row"]]
-        made = [pa.array(n, pa.int64()), pa.array(often, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([*own, *made], [f.name for f in schema])
-
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    walked = cut(map_batches(keyed.select(*carried, "_row", "text"), schema, traverse), "walked")
-    # a rarer word of a document meets its count; one that training lacks meets none
-    rare = walked.select("_row", F.inline(F.arrays_zip(F.col("_rare").alias("word"), F.col("_times").alias("times"))))
-    met = rare.join(counts, "word").select("_row", "times", "c").repartition("_row")
-    summed = met.groupBy("_row").agg(
-        F.sum("times").alias("_known"),
-        F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("_more"),
-        F.sum(F.col("times") * F.log10((F.col("c") - F.lit(DISCOUNT)) / F.lit(float(max(tokens, 1))))).alias("_found"),
-    )
-    copies = walked.groupBy("_row").agg(F.count("*").alias("_copies"))  # rows with the same id and text were summed together
-    out = walked.select(*carried, "_row", "n_tokens", "_often", "_base", "_score").join(summed, "_row", "left").join(copies.where("_copies > 1"), "_row", "left")
-    once = F.coalesce("_copies", F.lit(1))
-    known = F.coalesce(F.col("_known") / once, F.lit(0.0))
-    missing = float(np.log10(DISCOUNT * types / tokens)) if tokens else 0.0
-    return out.select(
-        *[F.col(x).alias(n) for x, n in carried.items()],
-        "n_tokens",
-        (F.col("_often") + known.cast("long")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce(F.col("_more") / once, F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(tokens + types + 1.0)))).alias("base_score"),
-        (F.col("_score") + F.coalesce(F.col("_found") / once, F.lit(0.0)) + (F.col("n_tokens") - F.col("_often") - known) * F.lit(missing)).alias("score"),
-    )
+    work, n = Scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = docs.columns
+    docs = docs.select("*", F.coalesce(train, F.lit(False))).toDF(*[x if x in ("doc_id", "text") else f"c{i}" for i, x in enumerate(names)], "_learn")
+    carried = {x: name for x, name in zip(docs.columns, names) if x != "text" and name.lower() not in MADE}
+    blocks = work.bucketed(_blocks(docs, list(carried)), "blocks", "block", n)
+    tokens = int(blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0)
+    bits = max(0, (-(-tokens // BUCKET_TOKENS) - 1).bit_length())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                block = Block(data.as_buffer())
+                yield _rows(_asked(number, WORDS, block.words, bits, block.word_counts) + _asked(number, BIGRAMS, block.bigrams, bits, block.bigram_counts))
+
+    def home(asked: DataFrame, what: str) -> DataFrame:
+        """Answers gathered by block, in buckets like those of the blocks."""
+        answers = F.sort_array(F.collect_list(F.struct("kind", "bucket", "data"))).alias(what)
+        types = F.sum(F.when(F.col("kind") == WORDS, F.col("types"))).alias("types")
+        return work.bucketed(_answered(asked, least).groupBy("block").agg(answers, types), what, "block", n)
+
+    counts = home(blocks.select("block", "data").mapInArrow(ask, ASKED), "counts")
+    types = int(counts.agg(F.sum("types").alias("n")).first()["n"] or 0)
+
+    def ask_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data, told in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("counts")):
+                block, told = Block(data.as_buffer()), told.as_py()
+                bigrams = _of_kind(told, BIGRAMS, 1)[0]
+                total = bigrams >> 1
+                own = np.nonzero((bigrams & 1 == 1) & (total >= least))[0]  # every bigram has one owner
+                kinds = np.bincount(block.first[own], minlength=len(block.words))
+                times = np.zeros(len(block.words), dtype=np.int64)
+                np.add.at(times, block.first[own], total[own])
+                out = _asked(number, AFTER_WORDS, block.words, bits, kinds, times)
+                more = block.trigrams(total, least)
+                edges = np.searchsorted(more.below, np.arange(len(more.part_keys) + 1))
+                for bucket, a, b in _buckets(more.part_keys, bits):
+                    x, y = edges[a], edges[b]
+                    out.append((number, AFTER_BIGRAMS, bucket, packed(np.diff(more.part_keys[a:b], prepend=np.uint64(0)), np.diff(edges[a : b + 1]), more.child[x:y], more.counts[x:y])))
+                yield _rows(out)
+
+    counts = counts.drop("types")
+    met = blocks.select("block", "data").join(counts, "block")
+    after = home(met.select("block", "data", "counts").mapInArrow(ask_more, ASKED), "after").drop("types")
+    own = docs.select(*carried).schema
+    schema = StructType([*own.fields]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column("data")):
+                block, told, more = Block(data.as_buffer()), batch.column("counts")[i].as_py(), batch.column("after")[i].as_py()
+                words, bigrams = (_of_kind(told, k, 1)[0] >> 1 for k in (WORDS, BIGRAMS))
+                edges = np.searchsorted(block.row, np.arange(len(block.starts) + 1))
+                n_tokens = np.diff(edges)
+                n_known = np.diff(np.concatenate(([0], np.cumsum(words[block.token] > 0)))[edges])
+                base, score = np.zeros(len(n_tokens)), np.zeros(len(n_tokens))
+                if tokens:
+                    automaton = Automaton(block, [words, bigrams], [*_of_kind(more, AFTER_WORDS, 2), *_of_kind(more, AFTER_BIGRAMS, 3)], tokens, types, least)
+                    logs = np.log10(words + 1.0)
+                    for text, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                        ids = block.token[a:b]
+                        base[text] = logs[ids].sum() - (b - a) * np.log10(tokens + types + 1.0)
+                        score[text] = automaton.score(ids.tolist())
+                rows = batch.column("rows")[i].values
+                columns = [rows.field(c) for c in carried]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score)], [f.name for f in schema])
+
+    met = blocks.select("block", "rows", "data").join(counts, "block").join(after, "block")
+    out = met.select("rows", "data", "counts", "after").mapInArrow(traverse, schema).toDF(*[f"c{i}" for i in range(len(schema))])
+    named = [F.col(f"c{i}").alias(name) for i, name in enumerate([*carried.values(), "n_tokens", "n_known"])]
+    base, score, n_tokens = (F.col(f"c{len(carried) + i}") for i in (2, 3, 0))
+    return work.last(out.select(*named, F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (score / n_tokens).alias("mean_score")), "scores")
 
 
 def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,4 +413,4 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     A document without id is neither learnt from nor held out.
     """
     docs = only(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "text")
-    return scores(docs, F.coalesce(remainder(7) != 2, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(docs, F.coalesce(remainder(7) != 2, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score")

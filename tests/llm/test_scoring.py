@@ -1,89 +1,132 @@
 import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pilespan.llm import scoring
 from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
+END = None
+
+
+def split(text):
+    return (text or "").encode().lower().split() + [END]
 
 
 def plain_base(texts, train):
     """{row: (tokens, known, base)} and all training tokens."""
-    split = [(t or "").encode().lower().split() + [None] for t in texts]
-    c = Counter(w for s, learn in zip(split, train) if learn for w in s)
+    c = Counter(w for t, learn in zip(texts, train) if learn for w in split(t))
     n, v = sum(c.values()), len(c)
-    return [(len(s), sum(c[w] > 0 for w in s), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s)) for s in split], n
-
-
-def test_base_and_counts(docs_of, odd_texts):
-    texts = [*odd_texts, "one two", "one two", "new words only"]
-    df = docs_of(texts).withColumn("learn", F.col("doc_id") != len(texts) - 1)
-    expected, n = plain_base(texts, [i != len(texts) - 1 for i in range(len(texts))])
-    got = {r.doc_id: r for r in scoring.scores(df, F.col("learn")).collect()}
-    for i, (tokens, known, base) in enumerate(expected):
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, n)
-        assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score < 0
+    return [(len(s), sum(c[w] > 0 for w in s), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s)) for s in map(split, texts)], n
+
+
+class Plain:
+    """The model by its definition, from dictionaries."""
+
+    def __init__(self, texts, least=2, discount=0.5):
+        self.count, self.discount = Counter(), discount
+        for t in texts:
+            s = [END, *split(t)]
+            for n in (1, 2, 3):
+                self.count.update(tuple(s[i : i + n]) for i in range(max(0, 2 - n), len(s) - n + 1) if n > 1 or i > 0)
+        self.tokens = sum(c for g, c in self.count.items() if len(g) == 1)
+        self.types = sum(len(g) == 1 for g in self.count)
+        self.after = defaultdict(dict)
+        for g, c in self.count.items():
+            if len(g) > 1 and c >= least:
+                self.after[g[:-1]][g[-1]] = c
+        self.least = least
+
+    def p(self, context, w):
+        if not context:
+            c = self.count[(w,)]
+            return (c - self.discount) / self.tokens if c else self.discount * self.types / self.tokens
+        total = self.count[context]
+        if total < (self.least if len(context) == 2 else 1):
+            return self.p(context[1:], w)
+        after = self.after.get(context, {})
+        left = 1 - (sum(after.values()) - self.discount * len(after)) / total
+        return (after[w] - self.discount if w in after else 0) / total + left * self.p(context[1:], w)
+
+    def score(self, text):
+        s = [END, *split(text)]
+        return sum(math.log10(self.p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s)))
+
+
+@pytest.fixture()
+def small(monkeypatch):
+    """Many blocks, buckets and parts of contexts in small tables."""
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(scoring, "BUCKET_TOKENS", 50)
+    monkeypatch.setattr(scoring, "PART_BITS", 3)
+
+
+def agrees(df, train, texts):
+    """df's scores against the plain model's. texts: {doc_id: text}; train: the ids learnt from."""
+    model = Plain([texts[i] for i in texts if i in train])
+    expected, n = plain_base(list(texts.values()), [i in train for i in texts])
+    got = {r.doc_id: r for r in df.collect()}
+    assert set(got) == set(texts)
+    for (i, t), (tokens, known, base) in zip(texts.items(), expected):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model.score(t), rel=1e-9)
+        assert r.mean_score == r.score / tokens
+
+
+def test_scores_by_definition(docs_of, odd_texts, small):
+    texts = dict(enumerate([*odd_texts, "one two", "one two", "new words only", "a b c a b c a b", "a b c"]))
+    out = scoring.scores(docs_of(list(texts.items())), F.col("doc_id") % 5 != 3)
+    agrees(out, {i for i in texts if i % 5 != 3}, texts)
+
+
+def test_hot_contexts_and_layout(spark, small):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["hot", "hot", "hot", "a", "b", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(60))) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    train = F.col("doc_id") % 4 != 0
+    seen = []
+    for n in (1, 7, 40):
+        out = scoring.scores(df.repartition(n), train)
+        agrees(out, {i for i in texts if i % 4}, texts)
+        seen.append({r.doc_id: (r.score, r.base_score) for r in out.collect()})
+    assert seen[0] == seen[1] == seen[2]  # to the last bit
+
+
+def test_probabilities_sum_to_one():
+    model = Plain(["a b c a b", "a b c", "b c a b c d", "a b", "x y z a b c", "c c c"] * 3 + ["q r"])
+    words = [g[0] for g in model.count if len(g) == 1]
+    for context in [(), (b"a",), (b"a", b"b"), (b"b", b"c"), (END, b"a"), (b"q", b"r"), (b"nowhere",)]:
+        unseen = model.p(context, b"a word that training lacks")
+        assert sum(model.p(context, w) for w in words) + unseen == pytest.approx(1.0, abs=1e-9)
 
 
 def test_repeated_rows_and_nulls(docs_of):
     df = docs_of([(1, "a b c"), (1, "a b c"), (None, "a b z"), (2, "q")], clashing=False).select("doc_id", "text")
     got = scoring.scores(df, F.col("doc_id").isNotNull()).collect()
-    assert len(got) == 4 and len({(r.n_known, round(r.score, 9)) for r in got if r.doc_id == 1}) == 1
+    assert len(got) == 4 and len({(r.n_known, r.score) for r in got if r.doc_id == 1}) == 1
     assert next(r.n_known for r in got if r.doc_id is None) == 3
     assert scoring.scores(df.limit(0), F.lit(True)).count() == 0
     alone = scoring.scores(df, F.lit(False)).collect()
-    assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in alone)
-
-
-def model_of(spark, texts, share):
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = {r.word & (2**64 - 1): r.c for r in scoring.word_counts(df).collect()}
-    tokens = sum(counts.values()) + len(texts)
-    often = sorted(h for h, c in counts.items() if c >= max(2, share * tokens))
-    words = scoring.Words(np.array(often, dtype=np.uint64), np.array([*(counts[h] for h in often), len(texts)]))
-    ngrams = scoring.ngram_counts(df, words, tokens, 3, share)
-    return words, ngrams, tokens, scoring.Automaton(words, ngrams, tokens), counts
-
-
-TEXTS = ["a b c a b", "a b c", "b c a b c d", "a b", "x y z a b c", "c c c"] * 5
-
-
-def test_ngram_counts_are_exact(spark):
-    words, ngrams, tokens, _, _ = model_of(spark, TEXTS, 0.01)
-    for n, (keys, counts) in ngrams.items():
-        found = Counter()
-        for t in TEXTS:
-            found.update(words.ngrams(scoring.word_hashes(t.encode()), n).tolist())
-        assert dict(zip(keys.tolist(), counts.tolist())) == {k: c for k, c in found.items() if c >= max(2, 0.01 * tokens)}
+    assert len(alone) == 4 and all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in alone)
 
 
-def test_probabilities_sum_to_one(spark):
-    words, _, tokens, automaton, counts = model_of(spark, TEXTS, 0.01)
-    rest = sum((c - scoring.DISCOUNT) / tokens for h, c in counts.items() if h not in set(words.hashes.tolist()))
-    rest += scoring.DISCOUNT * (len(counts) + 1) / tokens  # words that training lacks
-    assert len(automaton.arcs) > 5
-    for state in range(len(automaton.arcs)):
-        total = 0.0
-        for w in range(len(words.hashes) + 1):
-            s, log = state, 0.0
-            while w not in automaton.arcs[s]:
-                log += automaton.weight[s]
-                s = automaton.fail[s]
-            total += 10 ** (log + automaton.arcs[s][w][1])
-        assert total + rest * 10 ** automaton.to_root[state] == pytest.approx(1.0, abs=1e-9)
+def test_columns_stay(docs_of):
+    df = docs_of(["a b", "c"])
+    out = scoring.scores(df, F.lit(True))
+    kept = [c for c in df.columns if c.lower() not in ("text", *scoring.MADE)] + [c for c in df.columns if c == "TEXT"]
+    assert sorted(out.columns) == sorted([*kept, *scoring.MADE])
 
 
-def test_beats_the_base_on_held_out(spark):
-    got = scoring.op7_scoring(spark, DIR).toPandas()
+def test_query_agrees_with_the_definition(spark):
+    out = scoring.op7_scoring(spark, DIR)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in docs}
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    agrees(out, train, texts)
+    got = out.toPandas()
+    assert (got.held_out == [i not in train for i in got.doc_id]).all()
     held = got[got.held_out]
-    assert (got.held_out == [zlib.crc32(str(i).encode()) % 7 == 2 for i in got.doc_id]).all()
     assert held.score.sum() > held.base_score.sum() and (held.score > held.base_score).mean() > 0.8
-    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").toPandas()
-    expected, n = plain_base(docs.text, [zlib.crc32(str(i).encode()) % 7 != 2 for i in docs.doc_id])
-    by_id = got.set_index("doc_id")
-    for i, (tokens, known, base) in zip(docs.doc_id, expected):
-        r = by_id.loc[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n) and r.base_score == pytest.approx(base, rel=1e-9)
