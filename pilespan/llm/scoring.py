@@ -15,6 +15,7 @@ follows from the context's exact count, so all blocks split it alike.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,15 @@ DISCOUNT, MIN_COUNT = 0.5, 2
 #: Columns that scores() makes; columns of the same names give way.
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score")
 #: Bytes of text in a block; tokens of the corpus for a bucket of keys; occurrences of a context for each part of it (as a power of two).
-BLOCK_BYTES, BUCKET_TOKENS, PART_BITS = 8 << 20, 1 << 18, 20
+BLOCK_BYTES, BUCKET_TOKENS, PART_BITS = 4 << 20, 1 << 18, 20
 #: The hash that stands for the end, which also stands before a text.
 END = np.uint64(0x9D5C6E3F20B7A481)
 #: What is asked for: counts of words, counts of bigrams, what follows words, what follows bigrams.
 WORDS, BIGRAMS, AFTER_WORDS, AFTER_BIGRAMS = range(4)
 ASKED = "block long, kind int, bucket long, data binary"
 ANSWERED = ASKED + ", types long"
-CHILD = np.uint64((1 << 40) - 1)
+#: Bits that stand for a bigram (56) and, below its context, for the word that follows (32).
+KEY, CHILD = np.uint64((1 << 64) - (1 << 8)), np.uint64((1 << 32) - 1)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -69,22 +71,21 @@ class Block:
         self.end = int(np.searchsorted(self.words, END))
         n = sizes.astype(np.int64) + 2  # with the end before and after
         self.starts = np.cumsum(n) - n
-        stream = np.full(int(n.sum()), self.end, dtype=np.int64)
-        row = np.repeat(np.arange(len(n)), n)
+        stream = np.full(int(n.sum()), self.end, dtype=np.int32)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         inner = np.ones(len(stream), dtype=bool)
         inner[self.starts] = False
         at = np.nonzero(inner)[0]
         words = np.ones(len(stream), dtype=bool)
         words[self.starts] = words[self.starts + n - 1] = False
-        stream[words] = ids.astype(np.int64)
-        self.stream, self.ends = stream, self.starts + n
+        stream[words] = ids
         self.row, self.token, self.learnt = row[at], stream[at], learnt.astype(bool)[row[at]]
         self.before = stream[at - 1]
         self.word_counts = np.bincount(self.token[self.learnt], minlength=len(self.words))
-        key = mix64(self.words[self.before], self.words[self.token])
-        self.bigrams, self.bigram = np.unique(key, return_inverse=True)
+        self.bigrams, of = np.unique(mix64(self.words[self.before], self.words[self.token]) & KEY, return_inverse=True)
+        self.bigram = of.astype(np.int32)
         self.bigram_counts = np.bincount(self.bigram[self.learnt], minlength=len(self.bigrams))
-        self.first, self.last = (np.zeros(len(self.bigrams), dtype=np.int64) for _ in range(2))
+        self.first, self.last = (np.zeros(len(self.bigrams), dtype=np.int32) for _ in range(2))
         self.first[self.bigram], self.last[self.bigram] = self.before, self.token
 
     def trigrams(self, counts: np.ndarray, least: int) -> Trigrams:
@@ -95,7 +96,7 @@ class Trigrams:
     """A block's trigrams whose bigrams have the least count, under the parts of their contexts.
 
     contexts: the bigrams with the least count that don't end a text; part_keys: hashes of their parts, ascending;
-    part_of: the place in contexts of each part. child: 40 bits of hash of each trigram; below: its part; ascending by
+    part_of: the place in contexts of each part. child: a hash of each trigram; below: its part; ascending by
     both. context and after: the bigrams that it consists of; counts: in the block's texts that are learnt from.
     """
 
@@ -106,7 +107,7 @@ class Trigrams:
         part_of = np.repeat(np.arange(len(parts)), parts)
         number = np.arange(len(part_of)) - np.repeat(np.cumsum(parts) - parts, parts)
         keys = block.bigrams[self.contexts][part_of]
-        keys = np.where(number == 0, keys, mix64(keys, number.astype(np.uint64)))
+        keys = np.where(number == 0, keys, mix64(keys, number.astype(np.uint64)) & KEY)
         order = np.argsort(keys, kind="stable")
         self.part_keys, self.part_of = keys[order], part_of[order]
         rank = np.empty(len(order), dtype=np.int64)
@@ -223,9 +224,9 @@ def _of_kind(answers: list[dict], kind: int, columns: int) -> list[np.ndarray]:
 class Automaton:
     """The part of the weighted automaton that a block's texts can reach.
 
-    State 0 is the root, state 1 + w has the context w, and state 1 + words + b the context of bigram b. An
-    arc from a state by a word has a next state and a log10 probability; where there is none, the failure arc
-    leads to the next shorter context and adds its weight. The root has an arc for every word.
+    State 0 is the root; state 1 + w has the context w; further states have a bigram as context, if any trigram begins
+    with it. An arc from a state by a word has a next state and a log10 probability; where there is none, the
+    failure arc leads to the next shorter context and adds its weight. The root has an arc for every word.
     """
 
     def __init__(self, block: Block, counts: list[np.ndarray], after: list[np.ndarray], tokens: int, types: int, least: int):
@@ -233,8 +234,7 @@ class Automaton:
         size = self.size = len(block.words)
         more = block.trigrams(bigrams, least)
         kinds, times, part_kinds, part_times, found = after
-        seen = np.zeros(len(block.bigrams), dtype=np.int64)
-        other = np.zeros(len(block.bigrams), dtype=np.int64)
+        other, seen = (np.zeros(len(block.bigrams), dtype=np.int64) for _ in range(2))
         np.add.at(other, more.contexts[more.part_of], part_kinds)
         np.add.at(seen, more.contexts[more.part_of], part_times)
         known = bigrams >= least
@@ -244,38 +244,36 @@ class Automaton:
             left_bigram = np.where(known, 1 - (seen - DISCOUNT * other) / bigrams, 1.0)
             unigram = np.where(words > 0, (words - DISCOUNT) / tokens, DISCOUNT * types / tokens)
             bigram = np.where(known, (bigrams - DISCOUNT) / words[block.first], 0.0) + left_word[block.first] * unigram[block.last]
-        self.root = np.log10(unigram).tolist()
-        self.fail_word, self.fail_bigram = np.log10(left_word).tolist(), np.log10(left_bigram).tolist()
-        word_state = np.where(words > 0, 1 + np.arange(size), 0)
-        self.word_state = word_state.tolist()
-        self.last_state = word_state[block.last].tolist()
-        bigram_state = np.where(known & (block.last != block.end), 1 + size + np.arange(len(known)), word_state[block.last])
+        # a context that nothing in the model follows passes all on to the shorter one, so it needs no state
+        word_state = np.where(kinds > 0, 1 + np.arange(size), 0)
+        contexts = np.nonzero(other > 0)[0]
+        state = word_state[block.last]
+        state[contexts] = 1 + size + np.arange(len(contexts))
         b, t = np.nonzero(known)[0], np.nonzero(found >= least)[0]
         trigram = (found[t] - DISCOUNT) / bigrams[more.context[t]] + left_bigram[more.context[t]] * bigram[more.after[t]]
-        source = np.concatenate((1 + block.first[b], 1 + size + more.context[t]))
+        source = np.concatenate((1 + block.first[b].astype(np.int64), state[more.context[t]]))
         by = np.concatenate((block.last[b], block.last[more.after[t]]))
         self.arcs = dict(zip((source * size + by).tolist(), range(len(source))))
-        self.next = np.concatenate((bigram_state[b], bigram_state[more.after[t]])).tolist()
-        self.weight = np.log10(np.concatenate((bigram[b], trigram))).tolist()
+        self.next = array("q", np.concatenate((state[b], state[more.after[t]])).astype(np.int64).tobytes())
+        self.weight = array("d", np.log10(np.concatenate((bigram[b], trigram))).tobytes())
+        self.root, self.word_state = array("d", np.log10(unigram).tobytes()), array("q", word_state.astype(np.int64).tobytes())
+        self.fail = array("d", np.log10(np.concatenate(([1.0], left_word, left_bigram[contexts]))).tobytes())
+        self.shorter = array("q", np.concatenate((np.zeros(1 + size, dtype=np.int64), word_state[block.last[contexts]])).astype(np.int64).tobytes())
         self.start = self.word_state[block.end]
 
     def score(self, words: list[int]) -> float:
         """log10 probability of a text's words and its end."""
-        size, arcs, following, weight = self.size, self.arcs, self.next, self.weight
+        size, find, following, weight, fail, shorter = self.size, self.arcs.get, self.next, self.weight, self.fail, self.shorter
         state, total = self.start, 0.0
         for w in words:
             while state:
-                arc = arcs.get(state * size + w)
+                arc = find(state * size + w)
                 if arc is not None:
                     state = following[arc]
                     total += weight[arc]
                     break
-                if state > size:
-                    total += self.fail_bigram[state - size - 1]
-                    state = self.last_state[state - size - 1]
-                else:
-                    total += self.fail_word[state - 1]
-                    state = 0
+                total += fail[state]
+                state = shorter[state]
             else:
                 total += self.root[w]
                 state = self.word_state[w]
