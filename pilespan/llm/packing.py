@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, only, small_batches
 
-#: Windows that a task keeps open before it fills some by cutting others.
-OPEN_WINDOWS = 2048
+#: Windows that a task keeps open before it fills some by cutting others, so that its memory is bounded.
+OPEN_WINDOWS = 8192
 #: A task's windows are numbered from its partition times this.
 IDS_PER_TASK = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -35,16 +35,17 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def byte_bpe(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizers file, run by the faster of the two libraries.
 
-    The vocabulary's order is the order of the merges, so the ids are the same (tests compare them).
+    The vocabulary's order is the order of the merges, and the file's added tokens stand for themselves wherever a text
+    has them, so the ids are the same (tests compare them).
     """
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model["added_tokens"]}
+    special = {x["content"]: x["id"] for x in model["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): n for token, n in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Packer:
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, id_col
 
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                ids = np.array([*bpe.encode_ordinary(text.as_py() or ""), 0], dtype="<u4")
+                ids = np.array([*bpe.encode(text.as_py() or "", allowed_special="all"), 0], dtype="<u4")
                 whole = len(ids) // size * size
                 for at in range(0, whole, size):
                     emit([[(doc, at, ids[at : at + size], len(ids))]])

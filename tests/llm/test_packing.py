@@ -10,9 +10,7 @@ from tokenizers import Tokenizer
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def check(rows, expected, size):
@@ -38,6 +36,7 @@ def check(rows, expected, size):
 
 @pytest.mark.parametrize("size", [1024, 64, 8])
 def test_round_trip(docs_of, odd_texts, tokenizer, size):
+    odd_texts = [*odd_texts, "foo <|endoftext|> bar", "<|endoftext|><|endoftext|>"]
     df = docs_of(odd_texts)
     expected = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(odd_texts)}
     rows = packing.pack(df.coalesce(2), size).collect()
@@ -51,11 +50,15 @@ def test_both_libraries_agree(tokenizer):
     pools = [range(32, 127), range(32), range(0x80, 0x2100), range(0x2000, 0x2070), range(0x3000, 0x3100), range(0x1F000, 0x1FA00), [32, 10, 0x85, 0xA0, 39, 115]]
     for _ in range(3000):
         text = "".join(chr(rng.choice(rng.choice(pools))) for _ in range(30))
-        assert own.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
-    assert own.encode_ordinary("a<|endoftext|>b") == tokenizer.encode("a<|endoftext|>b", add_special_tokens=False).ids
+        assert own.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    end, ordinary = "<|endoftext|>", ["foo", " bar", "  ", "\n", "<|", "|>", "<|endoftext", "<|im_start|>", "é"]
+    assert 50256 in own.encode(f"a{end}b", allowed_special="all")
+    for _ in range(500):
+        text = "".join(rng.choice([end, *ordinary]) for _ in range(6))
+        assert own.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-@pytest.mark.parametrize("limit", [2048, 4])
+@pytest.mark.parametrize("limit", [packing.OPEN_WINDOWS, 4])
 def test_packer(limit):
     rng = np.random.default_rng(limit)
     packer, lengths, windows = packing.Packer(100, limit), rng.integers(1, 100, 3000), []
@@ -66,7 +69,7 @@ def test_packer(limit):
     windows += packer.finish()
     sums = [sum(len(p[2]) for p in w) for w in windows]
     assert sum(sums) == lengths.sum() and all(s == 100 or s & (s - 1) == 0 for s in sums)
-    if limit == 2048:  # the rule itself leaves little open: most windows are closed whole
+    if limit == packing.OPEN_WINDOWS:  # the rule itself leaves little open: most windows are closed whole
         assert placed > 0.8 * len(windows) and sum(len(w) for w in windows) < 1.2 * len(lengths)
 
 
