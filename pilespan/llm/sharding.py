@@ -2,17 +2,21 @@
 
 Arrivals are appended as small Parquet files, one a task, without a shuffle. Files of similar size form a
 tier; a tier with enough of them is merged into larger files, up to the target size, by tasks that each
-read a run of files and write one. A manifest lists the files of a version. It is written aside
-and renamed to its number, which fails if that number is there, so of two writers one commits and readers
-see a whole version or the one before. A lost task is run again; a lost driver leaves only
-files that no manifest lists.
+read a run of files and write one. A version's manifest says which files it adds and removes, and every
+CHECKPOINT versions all files are listed. A manifest is written aside and gets its number in one step that fails if
+the number is taken, so of two writers one commits and readers see a whole version or the one before. A
+lost task is run again; a lost driver leaves only files that no manifest lists.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,8 +25,10 @@ from .common import documents, work_path
 
 #: Bytes of a full shard; files of a tier that start a merge; how much larger the next tier is.
 TARGET_BYTES, FAN_IN, TIER_RATIO = 128 << 20, 4, 4
-#: Most rows of a shard as it arrives.
-ARRIVAL_ROWS = 4096
+#: Most rows of a shard as it arrives; versions from one full list of files to the next.
+ARRIVAL_ROWS, CHECKPOINT = 4096, 16
+#: Versions that vacuum() keeps for readers and writers on them; seconds after which a file that no manifest ever listed is taken for abandoned.
+KEEP, GRACE = 8, 7 * 86400
 
 
 class Conflict(RuntimeError):
@@ -30,46 +36,97 @@ class Conflict(RuntimeError):
 
 
 class ShardStore:
-    """A folder with data files and manifests, in any file system that Spark reads."""
+    """A folder with data files and manifests.
+
+    The step that commits is a hard link on local disks and a rename that doesn't overwrite elsewhere. It is
+    atomic on HDFS and on file systems that rename as it does; object stores without such a rename may
+    be read by many, but need a single writer.
+    """
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES):
         self.spark, self.path, self.target = spark, path.rstrip("/"), target_bytes
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self) -> set[str]:
+        at = self._path(f"{self.path}/manifests")
+        return {f.getPath().getName() for f in self._fs.listStatus(at)} if self._fs.exists(at) else set()
+
     def versions(self) -> list[int]:
         """Committed versions, ascending."""
-        at = self._path(f"{self.path}/manifests")
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:-5]) for n in self._names() if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The manifest of a version, the last by default; an empty one before the first commit."""
-        known = self.versions()
-        if not known:
-            return {"version": 0, "schema": None, "files": []}
-        stream = self._fs.open(self._path(f"{self.path}/manifests/v{version or known[-1]:012d}.json"))
+    def _read(self, kind: str, version: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifests/{kind}{version:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def commit(self, base: dict, files: list[dict], schema: str) -> dict:
-        """Make `files` the version after `base`; Conflict if that version is there already."""
-        new = {"version": base["version"] + 1, "schema": schema, "files": files}
+    def _write(self, kind: str, version: int, entry: dict) -> None:
+        """A manifest (v) or full list (c) under its number; FileExistsError if that is taken."""
         self._fs.mkdirs(self._path(f"{self.path}/manifests"))
         aside = self._path(f"{self.path}/manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
         try:
-            out.write(bytearray(json.dumps(new).encode()))
+            out.write(bytearray(json.dumps(entry).encode()))
         finally:
             out.close()
-        final = self._path(f"{self.path}/manifests/v{new['version']:012d}.json")
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
+        try:
+            self._publish(aside, self._path(f"{self.path}/manifests/{kind}{version:012d}.json"))
+        finally:
             self._fs.delete(aside, False)
-            raise Conflict(f"version {new['version']} is committed already")
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The version, schema and files of a version, the last by default; an empty one before the first commit."""
+        names = self._names()
+        known = sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        if not known:
+            return {"version": 0, "schema": None, "files": []}
+        last = at = version or known[-1]
+        steps = []
+        while at and f"c{at:012d}.json" not in names:
+            steps.append(self._read("v", at))
+            at -= 1
+        files = {f["name"]: f for f in self._read("c", at)["files"]} if at else {}
+        for e in reversed(steps):
+            for name in e["removed"]:
+                del files[name]
+            files |= {f["name"]: f for f in e["added"]}
+        return {"version": last, "schema": self._read("v", last)["schema"], "files": list(files.values())}
+
+    def commit(self, base: dict, added: list[dict], removed: list[str], schema: str) -> dict:
+        """Make base without `removed` and with `added` the version after it; Conflict if that version is there already."""
+        number, gone = base["version"] + 1, set(removed)
+        try:
+            self._write("v", number, {"version": number, "schema": schema, "added": added, "removed": removed})
+        except FileExistsError:
+            raise Conflict(f"version {number} is committed already") from None
+        new = {"version": number, "schema": schema, "files": [f for f in base["files"] if f["name"] not in gone] + added}
+        if number % CHECKPOINT == 0:
+            self._list(new)
         return new
 
+    def _list(self, manifest: dict) -> None:
+        """Write the full list of a version's files, which is the same whoever does."""
+        with contextlib.suppress(FileExistsError):
+            self._write("c", manifest["version"], {"files": manifest["files"]})
+
+    def _publish(self, aside, final) -> None:
+        """Give a file its final name; FileExistsError if the name is taken."""
+        if self._fs.getScheme() == "file":
+            os.link(aside.toUri().getPath(), final.toUri().getPath())
+            return
+        hadoop = self.spark._jvm.org.apache.hadoop
+        none = self.spark._sc._gateway.new_array(hadoop.fs.Options.Rename, 1)
+        none[0] = hadoop.fs.Options.Rename.NONE
+        try:
+            hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, final, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise FileExistsError(str(final)) from None
+            raise
+
     def _written(self, df: DataFrame, most_rows: int = 0) -> list[dict]:
         """Write df as data files, of at most most_rows if that isn't 0; their names and sizes."""
         folder = f"data/{uuid.uuid4().hex}"
@@ -80,7 +137,7 @@ class ShardStore:
     def append(self, df: DataFrame, most_rows: int = ARRIVAL_ROWS) -> dict:
         """Commit the rows of df as small shards of their own, as df's tasks hold them."""
         base = self.manifest()
-        return self.commit(base, base["files"] + self._written(df, most_rows), df.schema.json())
+        return self.commit(base, self._written(df, most_rows), [], df.schema.json())
 
     def tier(self, size: int) -> int:
         """Files at most TIER_RATIO times apart share a tier, counted from the target down."""
@@ -117,12 +174,11 @@ class ShardStore:
             runs = self.plan(base["files"])
             if not runs:
                 return base
-            gone = {f["name"] for r in runs for f in r}
+            gone = [f["name"] for r in runs for f in r]
             merged = []
             for run in self._batches(runs):
                 merged += self._merge(run, base["schema"])
-            self.commit(base, [f for f in base["files"] if f["name"] not in gone] + merged, base["schema"])
-            self.vacuum(keep=1)
+            self.commit(base, merged, gone, base["schema"])
 
     def _batches(self, runs: list[list[dict]], most: int = 512) -> list[list[list[dict]]]:
         return [runs[i : i + most] for i in range(0, len(runs), most)]
@@ -141,16 +197,32 @@ class ShardStore:
         finally:
             self.spark.conf.unset(name) if kept is None else self.spark.conf.set(name, kept)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete all but the last `keep` versions, and data that none of those lists."""
-        for v in self.versions()[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/manifests/v{v:012d}.json"), False)
-        listed = {f["name"] for v in self.versions() for f in self.manifest(v)["files"]}
+    def vacuum(self, keep: int = KEEP, grace: float = GRACE) -> None:
+        """Forget all but the last `keep` versions, and delete the files that only forgotten versions have.
+
+        A file that no version lists may be a writer's who hasn't committed yet; it goes only when it is
+        older than `grace` seconds. Readers and writers on kept versions aren't disturbed.
+        """
+        known = self.versions()
+        kept, gone = known[-keep:], known[:-keep]
+        if not kept:
+            return
+        steps = [self._read("v", v) for v in known]
+        lists = [self.manifest(v) for v in kept]
+        live = {f["name"] for m in lists for f in m["files"]}
+        expired = {name for e in steps for name in e["removed"]} - live
+        self._list(lists[0])
+        for v in gone:
+            for kind in "vc":
+                self._fs.delete(self._path(f"{self.path}/manifests/{kind}{v:012d}.json"), False)
+        for name in expired:
+            self._fs.delete(self._path(f"{self.path}/{name}"), False)
+        listed, before = live | expired, (time.time() - grace) * 1000
         for folder in self._fs.listStatus(self._path(f"{self.path}/data")):
-            name = f"data/{folder.getPath().getName()}"
-            for f in self._fs.listStatus(folder.getPath()):
-                if f"{name}/{f.getPath().getName()}" not in listed:
-                    self._fs.delete(f.getPath(), False)
+            files = list(self._fs.listStatus(folder.getPath()))
+            for f in files:
+                if f"data/{folder.getPath().getName()}/{f.getPath().getName()}" not in listed and f.getModificationTime() < before:
+                    self._fs.delete(f.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
@@ -166,7 +238,8 @@ class ShardStore:
 def shard(arrivals: list[DataFrame], path: str, target_bytes: int = TARGET_BYTES) -> ShardStore:
     """Append each arrival, compacting after each; the store.
 
-    Rows keep every column and value; nulls, repeats and empty arrivals are stored as they are.
+    Rows keep every column and value, in any number: nulls, ties, repeated rows, very long texts, extra columns of any
+    name, and empty arrivals are stored as they are.
     """
     store = None
     for df in arrivals:
@@ -176,22 +249,29 @@ def shard(arrivals: list[DataFrame], path: str, target_bytes: int = TARGET_BYTES
     return store
 
 
-#: Arrivals that the query makes of the table's files, and its target.
-QUERY_ARRIVALS, QUERY_TARGET = 4, 64 << 20
+#: Arrivals that the query makes of the table, and its target.
+QUERY_ARRIVALS, QUERY_TARGET = 8, 64 << 20
+
+
+def by_id(docs: DataFrame, n: int) -> list[DataFrame]:
+    """docs as n arrivals in the order of doc_id, of about as many rows each; rows without id come first."""
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("cuts")).first()["cuts"]
+    edges = [None, *sorted(set(cuts or [])), None]
+    out = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        here = F.lit(True) if low is None else F.col("doc_id") >= low
+        out.append(docs.where(here if high is None else here & (F.col("doc_id") < high)))
+    return [docs.where("doc_id is null").unionByName(out[0].where("doc_id is not null")), *out[1:]]
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every document lies after the table's files arrived in turn and were compacted.
+    """Where every document lies after the table arrived in the order of its ids, in eighths, and was compacted.
 
-    Returns doc_id, shard (number of its file in the manifest), version, shard_bytes and n_chars_stored (code
-    points, null for a null text), all read from the committed version.
+    Returns doc_id, shard (its file's name), version, shard_bytes and n_chars_stored (code points, null for a null
+    text), all read from the committed version. An empty table gives no rows.
     """
     docs = documents(spark, sf_dir)
-    files = sorted(docs.inputFiles())
-    groups = [files[n::QUERY_ARRIVALS] for n in range(min(QUERY_ARRIVALS, len(files)))]
-    arrivals = [spark.read.schema(docs.schema).parquet(*g) for g in groups] or [docs]
-    store = shard(arrivals, work_path(spark, "shards"), QUERY_TARGET)
-    last = store.manifest()
-    listed = spark.createDataFrame([(f["name"].rsplit("/", 1)[-1], n, f["bytes"]) for n, f in enumerate(last["files"])], "name string, shard int, shard_bytes long")
-    rows = store.read().select("doc_id", F.col("_metadata.file_name").alias("name"), F.length("text").cast("long").alias("n_chars_stored"))
-    return rows.join(listed, "name").select("doc_id", "shard", F.lit(last["version"]).alias("version"), "shard_bytes", "n_chars_stored")
+    store = shard(by_id(docs, QUERY_ARRIVALS), work_path(spark, "shards"), QUERY_TARGET)
+    store.vacuum(keep=1)  # the query's store has no other writer
+    rows = store.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.length("text").cast("long").alias("n_chars_stored"))
+    return rows.select("doc_id", "shard", F.lit(store.manifest()["version"]).alias("version"), "shard_bytes", "n_chars_stored")

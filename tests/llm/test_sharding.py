@@ -23,7 +23,8 @@ def test_tiers_merge_to_the_target(spark, tmp_path):
     files = store.manifest()["files"]
     assert store.read().count() == 180000 and store.read().distinct().count() == 180000
     assert len(files) < 20 and max(f["bytes"] for f in files) < 3 * 400_000
-    listed = {f["name"].split("/")[1] for f in files}
+    store.vacuum(keep=1)
+    listed = {f["name"].split("/")[1] for f in store.manifest()["files"]}
     on_disk = {p.parent.name for p in (tmp_path / "store/data").glob("*/part-*")}
     assert on_disk == listed  # merged files are gone
 
@@ -36,7 +37,7 @@ def test_commit_is_atomic(spark, tmp_path):
     base = b.manifest()
     a.append(spark.range(10))
     with pytest.raises(sharding.Conflict):
-        b.commit(base, [], a.manifest()["schema"])
+        b.commit(base, [], [], a.manifest()["schema"])
     assert a.versions() == [1] and b.read().count() == 10
     a.append(spark.range(5))
     assert b.read(1).count() == 10 and b.read().count() == 15
@@ -55,8 +56,53 @@ def test_plan_by_size():
     assert store.tier(2000) == 0 and store.tier(0) > 0
 
 
+def test_two_writers(spark, tmp_path):
+    """One commits while the other has written: neither loses what is committed, and kept versions stay readable."""
+    a, b = (sharding.ShardStore(spark, f"file://{tmp_path}/store", 1 << 20) for _ in range(2))
+    for n in range(5):
+        a.append(spark.range(n * 10, n * 10 + 10))
+    base, written = b.manifest(), b._written(spark.range(100, 110))
+    a.compact()
+    a.vacuum(keep=2)
+    a.vacuum(keep=1)
+    with pytest.raises(sharding.Conflict):
+        b.commit(base, written, [], base["schema"])
+    again = b.manifest()
+    b.commit(again, written, [], again["schema"])
+    assert sorted(r.id for r in a.read().collect()) == [*range(50), *range(100, 110)]
+    abandoned = b._written(spark.range(3))
+    a.vacuum(keep=1)
+    assert all((tmp_path / "store" / f["name"]).exists() for f in abandoned)
+    a.vacuum(keep=1, grace=-5)
+    assert not any((tmp_path / "store" / f["name"]).exists() for f in abandoned) and a.read().count() == 60
+
+
+def test_many_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "CHECKPOINT", 3)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", 1 << 20)
+    for n in range(8):
+        store.append(spark.range(n, n + 1).coalesce(1))
+    assert [store.read(v).count() for v in store.versions()] == list(range(1, 9))
+    store.compact()
+    store.vacuum(keep=3)
+    assert [store.read(v).count() for v in store.versions()] == [7, 8, 8] and len(store.manifest()["files"]) < 8
+    again = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    assert again.manifest() == store.manifest()
+
+
+@pytest.mark.parametrize("table", ["rows", "none", "clashing"])
+def test_query_on_odd_tables(spark, docs_of, odd_texts, tmp_path, table):
+    df = docs_of([*enumerate(odd_texts), (None, "n"), (None, "n"), (3, "again"), (3, "again")], clashing=table == "clashing")
+    df = df.limit(0) if table == "none" else df
+    df.toDF(*[c if c != "TEXT" else "shard" for c in df.columns]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op2_sharding(spark, str(tmp_path)).collect()
+    expected = [(r.doc_id, None if r.text is None else len(r.text)) for r in only(df, "doc_id", "text").collect()]
+    assert sorted(((r.doc_id, r.n_chars_stored) for r in got), key=str) == sorted(expected, key=str)
+
+
 def test_query(spark):
-    got = sharding.op2_sharding(spark, "/root/testdata/sf0.001").collect()
-    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = sharding.op2_sharding(spark, "/root/testdata/sf0.01").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     assert {r.doc_id for r in got} == set(docs) and len(got) == len(docs)
     assert all(r.n_chars_stored == len(docs[r.doc_id].text) for r in got)
+    assert {r.version for r in got} == {sharding.QUERY_ARRIVALS + 2} and len({r.shard for r in got}) < sharding.QUERY_ARRIVALS  # two merges
