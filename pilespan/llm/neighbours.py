@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by adaptive dimension scans of probed lists.
 
-Vectors are dealt to the lists of a k-means fitted on a bounded sample. A query visits the lists whose
-centres are nearest. There all vectors are rotated at random and compared in blocks of columns: after
-d of D dimensions the partial distance, scaled up, is tested against the distance of the fifth
-nearest so far, and a candidate that is too far with high confidence is given up. What is left is
-scored in double precision on the original vectors. Lists are cut into parts of bounded size, so a
-vector that a third of the rows share makes many parts and no large task.
+Vectors are dealt to the lists of a k-means fitted on a bounded sample of about FIT_ROWS rows; every row is in a list. A
+query visits the lists whose centres are nearest. There all vectors are rotated at random and compared in blocks of columns:
+after d of D dimensions the partial distance, scaled up, is tested against the distance of the fifth nearest so far, and a
+candidate that is too far with high confidence is given up. A query brings the distance of its fifth
+nearest in the sample along, so the tests bite in every list; these five are candidates too. What is left is scored in double precision on the
+original vectors. Of rows with the same vector only the k + 1 least ids can be an answer, so only these are
+candidates; lists are cut into parts of bounded size.
 """
 
 from __future__ import annotations
@@ -18,23 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import Scratch, only
 
-#: Rows on which lists are fitted and probes set; most lists; rows of a part of a list.
-FIT_ROWS, MOST_LISTS, PART_ROWS = 16384, 1024, 4096
+#: Rows on which lists are fitted and probes set (about); rows of them that queries are compared with first; most lists; rows of a part of a list.
+FIT_ROWS, FIRST_ROWS, MOST_LISTS, PART_ROWS = 32768, 4096, 1024, 4096
 #: Columns compared at once; how sure a test has to be (about: standard deviations); queries compared at once.
 COLUMNS, CONFIDENCE, QUERIES_AT_ONCE = 16, 2.5, 256
 #: Recall that the probes have to reach on the sample.
-RECALL = 0.98
+RECALL = 0.94
 
 
 @dataclass
 class Lists:
-    """centres: unit rows; rotation: orthogonal; probes: lists that a query visits."""
+    """centres: unit rows; rotation: orthogonal; probes: lists that a query visits; ids and sample: rows that it is compared with first."""
 
     centres: np.ndarray
     rotation: np.ndarray
     probes: int
+    ids: np.ndarray
+    sample: np.ndarray
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -42,11 +45,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def fit_lists(sample: np.ndarray, n: int, k: int, seed: int = 0) -> Lists:
-    """Spherical k-means on the sample, and the fewest probes that reach RECALL inside it."""
+def kth(distances: np.ndarray, ids: np.ndarray, k: int, alone: bool) -> float:
+    """The k-th least distance, each id counted once; infinite if there are fewer ids. alone: no id repeats."""
+    if len(distances) < k:
+        return np.inf
+    if alone:
+        return float(np.partition(distances, k - 1)[k - 1])
+    order = np.argsort(distances, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    return float(distances[order[first[k - 1]]]) if len(first) >= k else np.inf
+
+
+def fit_lists(ids: np.ndarray, sample: np.ndarray, n: int, k: int, seed: int = 0) -> Lists:
+    """Spherical k-means on the sample, and the fewest probes that reach RECALL inside it.
+
+    The lists come from one half, the probes from the other, whose rows the lists haven't seen. Neighbours are
+    nearer in the whole table than in the sample, so recall is higher there.
+    """
     rng = np.random.default_rng(seed)
-    x = _unit(sample.astype(np.float64))
-    lists = int(max(1, min(MOST_LISTS, np.sqrt(n), len(x) // 4)))
+    every = _unit(sample.astype(np.float64))
+    x, others = (every[::2], every[1::2]) if len(every) > 3 * k else (every, every)
+    lists = int(max(1, min(MOST_LISTS, 2 * np.sqrt(n), len(x) // 16)))
     centres = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(8):
         near = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
@@ -55,33 +74,30 @@ def fit_lists(sample: np.ndarray, n: int, k: int, seed: int = 0) -> Lists:
         lone = (sums * sums).sum(1) < 1e-18
         sums[lone] = x[rng.choice(len(x), int(lone.sum()))]
         centres = _unit(sums)
-    near = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
-    asked = rng.choice(len(x), min(len(x), 512), replace=False)
-    likes = x[asked] @ x.T
+    near = np.concatenate([(others[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(others), 4096)])
+    asked = rng.choice(len(others), min(len(others), 512), replace=False)
+    likes = others[asked] @ others.T
     likes[np.arange(len(asked)), asked] = -2
-    found = np.argsort(-likes, axis=1)[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(-(x[asked] @ centres.T), axis=1), axis=1)
+    found = np.argsort(-likes, axis=1)[:, : min(k, len(others) - 1)]
+    place = np.argsort(np.argsort(-(others[asked] @ centres.T), axis=1), axis=1)
     needed = np.take_along_axis(place, near[found], 1).ravel()
     probes = int(np.quantile(needed, RECALL, method="higher")) + 1 if needed.size else lists
     rotation = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
-    return Lists(centres, rotation, min(lists, max(1, probes + 1)))
+    return Lists(centres, rotation, min(lists, probes), ids[:FIRST_ROWS], sample[:FIRST_ROWS])
 
 
-def scan(asked: np.ndarray, held: np.ndarray, turned: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
-    """For each query the rows of `held` that may be among its k nearest.
+def scan(asked: np.ndarray, bounds: np.ndarray, ids: np.ndarray, turned: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+    """For each query the rows that may be among its k nearest.
 
-    turned: held, of unit length and rotated; own: mask (queries x rows) of rows that are the query's own.
+    bounds: squared distances that the k nearest don't exceed; ids and turned: the rows, of unit length and
+    rotated; own: mask (queries x rows) of rows that are the query's own.
     """
-    d = turned.shape[1]
+    d, alone = turned.shape[1], len(np.unique(ids)) == len(ids)
     queries, out = _unit(asked) @ rotation, []
-    for q, mine in zip(queries, own):
+    for q, bound, mine in zip(queries, bounds, own):
         alive = np.nonzero(~mine)[0]
         seeds = alive[: 8 * k]
-        if len(alive) <= len(seeds):
-            out.append(alive)
-            continue
-        first = ((turned[seeds] - q) ** 2).sum(1)
-        limit = np.partition(first, k - 1)[k - 1]
+        limit = min(bound, kth(((turned[seeds] - q) ** 2).sum(1), ids[seeds], k, alone))
         partial = np.zeros(len(alive))
         for at in range(0, d, COLUMNS):
             block = slice(at, min(d, at + COLUMNS))
@@ -90,9 +106,9 @@ def scan(asked: np.ndarray, held: np.ndarray, turned: np.ndarray, rotation: np.n
             slack = (1 + CONFIDENCE / np.sqrt(seen)) ** 2 * seen / d if seen < d else 1.0
             keep = partial <= limit * slack + 1e-9
             alive, partial = alive[keep], partial[keep]
-        if len(partial) > k:
-            alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + 1e-9]
-        out.append(alive)
+            if not len(alive):
+                break
+        out.append(alive[partial <= kth(partial, ids[alive], k, alone) + 1e-9])
     return out
 
 
@@ -116,17 +132,19 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
 
     rows: vec_id, embedding. A query's own id isn't a candidate; a repeated id counts once, by its
     best score; ties go to the smaller id. Fewer rows come only where there are fewer candidates.
-    No usable rows give no rows.
+    Nulls are left out as usable() says, other columns are ignored, and no usable rows give no rows.
     """
     spark = rows.sparkSession
+    work = Scratch(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     good = usable(rows)
     n = good.count()
     if not n:
         return spark.createDataFrame([], schema)
-    drawn = good.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / n) * (1 << 30))).select("v").limit(2 * FIT_ROWS).toPandas()
-    sample = np.array(drawn["v"].tolist(), dtype=np.float64) if len(drawn) else np.array(good.limit(1).toPandas()["v"].tolist(), dtype=np.float64)
-    lists = spark.sparkContext.broadcast(fit_lists(sample, n, k))  # at most MOST_LISTS centres
+    drawn = good.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / n) * (1 << 30))).orderBy(F.xxhash64("id", "v"), "id").limit(2 * FIT_ROWS).toPandas()
+    drawn = drawn if len(drawn) else good.limit(1).toPandas()
+    fitted = fit_lists(drawn["id"].to_numpy(np.int64), np.array(drawn["v"].tolist(), dtype=np.float64), n, k)
+    lists = spark.sparkContext.broadcast(fitted)  # at most MOST_LISTS centres and FIRST_ROWS rows
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,17 +152,42 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
                 near = (_unit(_matrix(batch.column("v"))) @ lists.value.centres.T).argmax(1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(near)], ["id", "v", "list"])
 
-    held = cut(good.mapInArrow(deal, "id long, v array<double>, list int"), "lists")
+    same = Window.partitionBy("v").orderBy("id")
+    least = good.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "v")
+    held = work.cut(least.mapInArrow(deal, "id long, v array<double>, list int"), "lists")
     sizes = np.zeros(len(lists.value.centres), dtype=np.int64)
-    for r in held.groupBy("list").count().collect():  # a row a list
+    counted = held.groupBy("list").count()
+    for r in counted.collect():  # a row a list
         sizes[r["list"]] = r["count"]
     parts = np.maximum(1, -(-sizes // PART_ROWS))
 
+    def in_sample(ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """For each query the squared distance of its k-th nearest in the sample, and the places of the k there."""
+        known, unit, turned = lists.value.ids, _unit(lists.value.sample), _unit(vectors)
+        alone = len(np.unique(known)) == len(known)
+        for at in range(0, len(ids), QUERIES_AT_ONCE):
+            far = 2 - 2 * (turned[at : at + QUERIES_AT_ONCE] @ unit.T)
+            far[ids[at : at + QUERIES_AT_ONCE, None] == known[None, :]] = np.inf
+            for row in far:
+                bound = kth(row, known, k, alone) + 1e-9
+                yield bound, np.nonzero((row <= bound) & (row < np.inf))[0]
+
+    def first_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = lists.value.sample
+        norms = np.sqrt((sample * sample).sum(1))
+        for batch in batches:
+            if batch.num_rows:
+                ids, vectors = np.asarray(batch.column("id")), _matrix(batch.column("v"))
+                for q, v, (_, near) in zip(ids.tolist(), vectors, in_sample(ids, vectors)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(lists.value.ids[near]), pa.array(_cosine(v, sample[near], norms[near]))], ["query_id", "vec_id", "score"])
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-(_unit(_matrix(batch.column("v"))) @ lists.value.centres.T), axis=1, kind="stable")
+            ids, vectors = np.asarray(batch.column("id")), _matrix(batch.column("v"))
+            order = np.argsort(-(_unit(vectors) @ lists.value.centres.T), axis=1, kind="stable")
+            bounds = [bound for bound, _ in in_sample(ids, vectors)]
             upto = np.cumsum(sizes[order], axis=1) - sizes[order]
             for at, (row, before) in enumerate(zip(order, upto)):
                 # on until there are candidates enough
@@ -152,12 +195,15 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
                 took = took[sizes[took] > 0]
                 name, part = np.repeat(took, parts[took]), np.concatenate([np.arange(parts[x]) for x in took])
                 again = pa.array(np.full(len(name), at))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(again), batch.column("v").take(again), pa.array(name.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(name), bool))], ["id", "v", "list", "part", "asks"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(again), batch.column("v").take(again), pa.array(name.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(name), bounds[at]))], ["id", "v", "list", "part", "bound"])
 
-    share = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
-    candidates = held.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), share.cast("long")).cast("int")).withColumn("asks", F.lit(False))
-    asking = held.where(queries).select("id", "v").mapInArrow(visit, "id long, v array<double>, list int, part int, asks boolean")
-    met = candidates.select("id", "v", "list", "part", "asks").union(asking).repartition("list", "part").sortWithinPartitions("list", "part", "asks", "id")
+    rows = "id long, v array<double>, list int, part int, bound double"
+    share = F.broadcast(counted.select("list", F.ceil(F.col("count") / PART_ROWS).alias("parts")))  # a row a list
+    candidates = held.join(share, "list").withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.col("parts")).cast("int"))
+    asked = good.where(queries).distinct().select("id", "v")
+    asking = asked.mapInArrow(visit, rows)
+    met = candidates.select("id", "v", "list", "part", F.lit(None).cast("double").alias("bound")).union(asking)
+    met = met.repartition("list", "part").sortWithinPartitions("list", "part", F.col("bound").isNotNull(), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, rows, turned, norms = None, None, None, None, None
@@ -166,7 +212,8 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
             if not batch.num_rows:
                 continue
             groups = np.stack([np.asarray(batch.column("list")), np.asarray(batch.column("part"))], 1)
-            asks, who, vectors = np.asarray(batch.column("asks").to_pylist(), bool), np.asarray(batch.column("id")), _matrix(batch.column("v"))
+            bounds = batch.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
+            asks, who, vectors = ~np.isnan(bounds), np.asarray(batch.column("id")), _matrix(batch.column("v"))
             edges = np.nonzero(np.r_[True, (groups[1:] != groups[:-1]).any(1) | (asks[1:] != asks[:-1])])[0]
             for a, b in zip(edges, np.r_[edges[1:], len(asks)]):
                 if tuple(groups[a]) != now:
@@ -182,7 +229,7 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
                 out = []
                 for c in range(a, b, QUERIES_AT_ONCE):
                     e = min(b, c + QUERIES_AT_ONCE)
-                    for q, query, left in zip(who[c:e], vectors[c:e], scan(vectors[c:e], rows, turned, lists.value.rotation, k, who[c:e, None] == ids[None, :])):
+                    for q, query, left in zip(who[c:e], vectors[c:e], scan(vectors[c:e], bounds[c:e], ids, turned, lists.value.rotation, k, who[c:e, None] == ids[None, :])):
                         scores = _cosine(query, rows[left], norms[left])
                         best = np.lexsort((ids[left], -scores))
                         seen: set[int] = set()
@@ -195,9 +242,10 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = met.mapInArrow(compare, "query_id long, vec_id long, score double")
+    found = found.union(asked.mapInArrow(first_found, found.schema)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return work.last(found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
 
 
 def _cosine(query: np.ndarray, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pilespan.llm import neighbours
 from pyspark.sql import functions as F
 
@@ -34,12 +35,19 @@ def by_query(df):
     return out
 
 
-def test_recall_on_the_table(spark):
+@pytest.mark.parametrize(("fit_rows", "first_rows"), [(neighbours.FIT_ROWS, neighbours.FIRST_ROWS), (neighbours.FIT_ROWS, 64), (512, 64)])
+def test_recall_on_the_table(spark, monkeypatch, fit_rows, first_rows):
+    """Also where the sample is a small share of the rows, as on large tables."""
+    monkeypatch.setattr(neighbours, "FIT_ROWS", fit_rows)
+    monkeypatch.setattr(neighbours, "FIRST_ROWS", first_rows)
+    fitted, fit = [], neighbours.fit_lists
+    monkeypatch.setattr(neighbours, "fit_lists", lambda *a: fitted.append(fit(*a)) or fitted[-1])
     dir_ = "/root/testdata/sf0.1"
     data = spark.read.parquet(f"{dir_}/embeddings.parquet").select("vec_id", "embedding").toPandas()
     rows = list(zip(data.vec_id.tolist(), data.embedding.tolist()))
     expected = brute(rows, lambda i: i % 50 == 0, 5)
     got = by_query(neighbours.op10_neighbours(spark, dir_))
+    print(f"sample {fit_rows}, first {len(fitted[0].ids)} of {len(rows)}, {fitted[0].probes} of {len(fitted[0].centres)} lists, recall {recall(got, expected):.4f}")
     assert set(got) == set(expected) and recall(got, expected) >= 0.9
     vectors = {i: np.array(v, dtype=np.float64) for i, v in rows}
     for q, own in got.items():
@@ -77,6 +85,17 @@ def test_repeated_ids_and_sizes(spark):
     assert [r.vec_id for r in got] == [1, 2] and abs(got[0].score - 1 / np.sqrt(1.01)) < 1e-9
 
 
+def test_repeated_rows_hide_nothing(spark):
+    """Copies of rows, and of one id near a query, use up no places."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(12)) for i in range(1000)]
+    close = [(5000, rows[0][1] + 0.01 * rng.standard_normal(12)) for _ in range(9)]
+    got = by_query(neighbours.nearest(table(spark, rows * 2 + close), "id % 50 = 0", 5))
+    expected = brute(rows + close[:1], lambda i: i % 50 == 0, 5)
+    assert all(len({r.vec_id for r in own}) == 5 for own in got.values()) and recall(got, expected) >= 0.9
+    assert got[0][0].vec_id == 5000 and [r.vec_id for r in got[0]][1:] == [i for _, i in expected[0][1:]]
+
+
 def test_hot_vector_in_parts(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART_ROWS", 16)
     rng = np.random.default_rng(5)
@@ -94,7 +113,7 @@ def test_pruning_keeps_the_nearest():
     asked = held[:40] + 0.3 * rng.standard_normal((40, 64))
     own = np.zeros((40, 2000), dtype=bool)
     hit = 0
-    for q, left in zip(asked, neighbours.scan(asked, held, turned, rotation, 5, own)):
+    for q, left in zip(asked, neighbours.scan(asked, np.full(40, np.inf), np.arange(2000), turned, rotation, 5, own)):
         best = np.argsort(-(neighbours._unit(held) @ neighbours._unit(q[None])[0]))[:5]
         hit += len(set(best) & set(left.tolist()))
         assert len(left) < 50
