@@ -6,7 +6,9 @@ draws 46. A table's anchors are the words of the doubled Golay code; a sketch go
 points within one bit of its draw, and texts that meet at an anchor are compared, first by 64 bits, then by the
 sketch, then, unless the sketch is clear, by their shingles. At an anchor with few texts each is compared
 with each by 64 bits. The texts of a crowded anchor meet their whole sketches and are dealt to cells of bounded
-size, in which each is compared with each; of what is surely near a cell gives a forest of links only.
+size, in which each is compared with each, three times: a cell first gives a forest of the links that are clear; then
+for each text its nearest in doubt among other groups; and once these are checked, all pairs in doubt that still lie between
+groups. So what large groups of near copies send on grows with their texts, not with their pairs.
 """
 
 from __future__ import annotations
@@ -121,9 +123,10 @@ def clear_bits(similarity: float, sign: int, bits: int = 64 * SKETCH_WORDS) -> f
     return bits * share + sign * CLEAR * np.sqrt(bits * share * (1 - share))
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, sure) of nodes (node, sketch, n) that meet at an anchor and look near; sure ones need no check."""
-    sure_bits, far_sketch, far_word = clear_bits(similarity, -1), clear_bits(similarity, 1), int(clear_bits(similarity, 1, 64))
+def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, sure) of nodes (node, sketch, n) that meet at an anchor: true for clear links, false for pairs whose 64 bits
+    look near; where sure is null, v is a text of the crowded anchor u."""
+    sure_bits, far_word = clear_bits(similarity, -1), int(clear_bits(similarity, 1, 64))
     draws = _draws()
 
     def block(batches: list[pa.RecordBatch]) -> pa.Table:
@@ -209,34 +212,57 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
                 held, size = [], 0
         yield settle(True)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Near pairs of each cell (key, x, y), whose rows come together: those of part x with those of part y."""
-
-        def cell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(rows)
-            node, part, large = np.asarray(t["node"]), np.asarray(t["part"]), np.asarray(t["n"]) >= CLEAR_SHINGLES
-            words = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype="<u8").reshape(t.num_rows, -1)
-            x, y = t["x"][0].as_py(), t["y"][0].as_py()
-            left, right = np.nonzero(part == x)[0], np.nonzero(part == y)[0]
-            sure, doubt = [np.empty((2, 0), dtype=np.int64)], [np.empty((2, 0), dtype=np.int64)]
-            for at in range(0, len(left), CELL):
-                own = left[at : at + CELL]
-                for to in range(0, len(right), CELL):
-                    other = right[to : to + CELL]
-                    bits = _apart(words[own], words[other])
-                    i, j = np.nonzero(bits <= far_sketch)
-                    clear, i, j = bits[i, j] <= sure_bits, own[i], other[j]
-                    good = i < j if x == y else np.ones(len(i), dtype=bool)
-                    clear &= large[i] & large[j]
-                    sure.append(np.stack([i, j])[:, good & clear])
-                    doubt.append(np.stack([i, j])[:, good & ~clear])
-            least = _forest(len(node), *np.concatenate(sure, axis=1))
-            i, j = np.concatenate(doubt, axis=1)
-            open_ = least[i] != least[j]  # the others are linked already
-            own = np.nonzero(least != np.arange(len(node)))[0]
-            u, v = np.concatenate((own, i[open_])), np.concatenate((least[own], j[open_]))
-            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.arange(len(u)) < len(own))], ["u", "v", "sure"])
+    rows = nodes.select("node", "sketch", "n").mapInArrow(replicate, "key long, node long, word long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "u long, v long, sure boolean")
+
+
+def crowds(met: DataFrame) -> DataFrame:
+    """(key, node, parts): the texts of crowded anchors, and the parts of about CELL texts that an anchor has."""
+    crowd = met.where("sure is null").select(F.col("u").alias("key"), F.col("v").alias("node"))
+    return crowd.join(crowd.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "key")
+
+
+def compared(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, what: str) -> DataFrame:
+    """(u, v, apart) of the texts of crowded anchors that look near and lie in different groups of roots (node, root).
+
+    members: key, node, parts. what: "sure" for a forest of the clear links of each cell, "nearest" for each
+    text's nearest among the others, "all" for all pairs that aren't clear.
+    """
+    sure_bits, far_sketch = clear_bits(similarity, -1), clear_bits(similarity, 1)
+
+    def cell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Those of part x are compared with those of part y."""
+        t = pa.Table.from_batches(rows)
+        node, root, part, large = (np.asarray(t[c]) for c in ("node", "root", "part", "n"))
+        large = large >= CLEAR_SHINGLES
+        words = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype="<u8").reshape(t.num_rows, -1)
+        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        left, right = np.nonzero(part == x)[0], np.nonzero(part == y)[0]
+        found = [np.empty((3, 0), dtype=np.int64)]
+        for at in range(0, len(left), CELL):
+            own = left[at : at + CELL]
+            for to in range(0, len(right), CELL):
+                other = right[to : to + CELL]
+                bits = _apart(words[own], words[other])
+                i, j = np.nonzero((bits <= far_sketch) & (root[own][:, None] != root[other][None, :]))
+                apart, i, j = bits[i, j].astype(np.int64), own[i], other[j]
+                clear = (apart <= sure_bits) & large[i] & large[j]
+                good = (i < j if x == y else np.ones(len(i), dtype=bool)) & (clear if what == "sure" else ~clear)
+                found.append(np.stack([i, j, apart])[:, good])
+        i, j, apart = np.concatenate(found, axis=1)
+        if what == "sure":
+            least = _forest(len(node), i, j)
+            i = np.nonzero(least != np.arange(len(node)))[0]
+            j, apart = least[i], np.zeros(len(i), dtype=np.int64)
+        elif what == "nearest":
+            order = np.argsort(apart, kind="stable")
+            i, j, apart = i[order], j[order], apart[order]
+            first = np.unique(np.unique(np.stack([i, j], 1).ravel(), return_index=True)[1] // 2)
+            i, j, apart = i[first], j[first], apart[first]
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(apart)], ["u", "v", "apart"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells (key, x, y), whose rows come together."""
         held, now = [], None
         for batch in batches:
             if not batch.num_rows:
@@ -252,16 +278,22 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield cell(held)
 
-    pair = "u long, v long, sure boolean"
-    rows = nodes.select("node", "sketch", "n").mapInArrow(replicate, "key long, node long, word long")
-    met = cut(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, pair), "met")
-    crowd = met.where("sure is null").select(F.col("u").alias("key"), F.col("v").alias("node"))
-    parts = crowd.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    members = crowd.join(parts, "key").join(nodes.select("node", "sketch", "n"), "node").withColumn("part", F.expr("pmod(xxhash64(node, 7), parts)").cast("int"))
-    cells = members.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "node", "sketch", "n")
-    close = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(compare, pair)
-    pairs = met.where("sure is not null").union(close)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sure").where("u < v").groupBy("u", "v").agg(F.max("sure").alias("sure"))
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rows = rooted.join(open_, "key").join(nodes.select("node", "sketch", "n"), "node").withColumn("part", F.expr("pmod(xxhash64(node, 7), parts)").cast("int"))
+    cells = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "node", "root", "sketch", "n")
+    close = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(compare, "u long, v long, apart long")
+    return _distinct(close)
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """Each pair (u, v, apart) once, u below v."""
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "apart").where("u < v").groupBy("u", "v").agg(F.min("apart").alias("apart"))
+
+
+def _star_of(roots: DataFrame) -> DataFrame:
+    """Links that make the groups of roots (node, root)."""
+    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -270,8 +302,11 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(*pairs.columns)
 
 
-def checked(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v) of the pairs (u, v, a, b) whose texts, named by (doc, mark), share enough of their shingles."""
+def checked(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (u, v) of nodes whose texts share enough of their shingles."""
+    named = nodes.select("node", "least")
+    pairs = pairs.join(named.select(F.col("node").alias("u"), F.col("least").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("least").alias("b")), "v")
+    pairs = cut(pairs.select("u", "v", "a", "b"), "asked")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.doc").alias("doc"), F.col("x.mark").alias("mark")).distinct()
     inside, _ = split_by_keys(keyed, F.xxhash64("doc", "mark"), asked.select(F.xxhash64("doc", "mark").alias("key")))
     texts = inside.join(asked, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"])
@@ -303,22 +338,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     made = cut(sketches(keyed, shingle), "sketches")
     nodes = made.groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     nodes = cut(nodes, "nodes")
-    pairs = cut(candidates(nodes, similarity), "pairs")
+    met = cut(meeting(nodes, similarity), "met")
     apart = " + ".join(f"bit_count(cast(conv(hex(substring(a.sketch, {8 * i + 1}, 8)), 16, -10) as bigint) ^ cast(conv(hex(substring(b.sketch, {8 * i + 1}, 8)), 16, -10) as bigint))" for i in range(SKETCH_WORDS))
-    judged = pairs.where("not sure").join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node"))
-    judged = judged.select("u", "v", F.expr(apart).alias("apart"), F.least("a.n", "b.n").alias("n"), F.col("a.least").alias("a"), F.col("b.least").alias("b"))
+    few = met.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    judged = few.join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node"))
+    judged = judged.select("u", "v", F.expr(apart).cast("long").alias("apart"), F.least("a.n", "b.n").alias("n"))
     judged = cut(judged.where(F.col("apart") <= clear_bits(similarity, 1)), "judged")
     clear = (F.col("apart") <= clear_bits(similarity, -1)) & (F.col("n") >= CLEAR_SHINGLES)
-    sure = judged.where(clear).select("u", "v").union(pairs.where("sure").select("u", "v"))
-    roots = cut(components(sure), "clear")
-    unclear = cut(between(judged.where(~clear), roots), "unclear")
-    # first each text with its nearest, then what still lies between groups: of a crowd few pairs are left
-    nearest = unclear.select(F.explode(F.array("u", "v")).alias("x"), "apart", "u", "v").groupBy("x").agg(F.min(F.struct("apart", "u", "v")).alias("m")).select("m.u", "m.v").distinct()
+    roots = cut(components(judged.where(clear).select("u", "v").union(met.where("sure").select("u", "v"))), "clear")
+    # crowds: their clear links, then each text's nearest, then what still lies between groups
+    members = cut(crowds(met), "members")
+    roots = cut(components(_star_of(roots).union(compared(members, nodes, roots, similarity, "sure").select("u", "v"))), "crowds")
+    unclear = cut(between(judged.where(~clear).select("u", "v", "apart"), roots), "unclear")
+    both = unclear.union(compared(members, nodes, roots, similarity, "nearest"))
+    nearest = both.select(F.explode(F.array("u", "v")).alias("x"), "apart", "u", "v").groupBy("x").agg(F.min(F.struct("apart", "u", "v")).alias("m")).select("m.u", "m.v").distinct()
     nearest = cut(nearest, "nearest")
-    links = cut(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(checked(keyed, unclear.join(nearest, ["u", "v"]), shingle, similarity)), "links")
-    rest = cut(between(unclear.join(nearest, ["u", "v"], "left_anti"), cut(components(links), "groups")), "rest")
-    links = links.union(checked(keyed, rest, shingle, similarity))
-    roots = components(links)
+    roots = cut(components(_star_of(roots).union(checked(keyed, nodes, nearest, shingle, similarity))), "groups")
+    rest = between(unclear, roots).union(compared(members, nodes, roots, similarity, "all")).select("u", "v").distinct()
+    rest = rest.join(nearest, ["u", "v"], "left_anti")
+    roots = components(_star_of(roots).union(checked(keyed, nodes, rest, shingle, similarity)))
     rooted = cut(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = rooted.join(least, "root").select("node", "first")
