@@ -6,7 +6,8 @@ occurrences on, whatever the size of the corpus, and every word is. No task ever
 into blocks; a block asks for the counts of its own n-grams, which meet those of all other blocks in buckets
 of their hashes, and the answers come home to the block. From them the block builds the part of the automaton that
 its texts can reach: states are contexts, an arc carries a word's log-probability, a failure arc the
-backoff weight, and each text is scored in one traversal from left to right that carries the state.
+backoff weight, and each text is scored in one traversal from left to right that carries the state; a block's texts are
+traversed side by side.
 
 Trigrams are asked for only if both their bigrams are in the model; no other can be. Words with all their
 contexts meet under the context's hash; a context with very many occurrences is split by the word's hash, by a rule that
@@ -15,7 +16,6 @@ follows from the context's exact count, so all blocks split it alike.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,31 +253,42 @@ class Automaton:
         trigram = (found[t] - DISCOUNT) / bigrams[more.context[t]] + left_bigram[more.context[t]] * bigram[more.after[t]]
         source = np.concatenate((1 + block.first[b].astype(np.int64), state[more.context[t]]))
         by = np.concatenate((block.last[b], block.last[more.after[t]]))
-        self.arcs = dict(zip((source * size + by).tolist(), range(len(source))))
-        self.next = array("q", np.concatenate((state[b], state[more.after[t]])).astype(np.int64).tobytes())
-        self.weight = array("d", np.log10(np.concatenate((bigram[b], trigram))).tobytes())
-        self.root, self.word_state = array("d", np.log10(unigram).tobytes()), array("q", word_state.astype(np.int64).tobytes())
-        self.fail = array("d", np.log10(np.concatenate(([1.0], left_word, left_bigram[contexts]))).tobytes())
-        self.shorter = array("q", np.concatenate((np.zeros(1 + size, dtype=np.int64), word_state[block.last[contexts]])).astype(np.int64).tobytes())
-        self.start = self.word_state[block.end]
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of a text's words and its end."""
-        size, find, following, weight, fail, shorter = self.size, self.arcs.get, self.next, self.weight, self.fail, self.shorter
-        state, total = self.start, 0.0
-        for w in words:
-            while state:
-                arc = find(state * size + w)
-                if arc is not None:
-                    state = following[arc]
-                    total += weight[arc]
-                    break
-                total += fail[state]
-                state = shorter[state]
-            else:
-                total += self.root[w]
-                state = self.word_state[w]
-        return total
+        key, weight = source * size + by, np.log10(np.concatenate((bigram[b], trigram)))
+        order = np.argsort(key)
+        self.arcs, self.weight, self.next = key[order], weight[order], np.concatenate((state[b], state[more.after[t]]))[order]
+        self.root, self.word_state, self.bigram_state = np.log10(unigram), word_state, state
+        self.fail = np.log10(np.concatenate(([1.0], left_word, left_bigram[contexts])))
+        self.shorter = np.concatenate((np.zeros(1 + size, dtype=np.int64), word_state[block.last[contexts]]))
+        self.start = word_state[block.end]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each state by a word: the next state and the weights on the way."""
+        state, total, then = state.copy(), np.zeros(len(state)), self.word_state[word]
+        going = np.arange(len(state))
+        while len(going):
+            key = state[going] * self.size + word[going]
+            at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            there = (self.arcs[at] == key) & (state[going] > 0) if len(self.arcs) else np.zeros(len(going), dtype=bool)
+            total[going[there]] += self.weight[at[there]]
+            then[going[there]] = self.next[at[there]]
+            going = going[~there]
+            ended = state[going] == 0
+            total[going[ended]] += self.root[word[going[ended]]]
+            going = going[~ended]
+            total[going] += self.fail[state[going]]
+            state[going] = self.shorter[state[going]]
+        return then, total
+
+    def scores(self, block: Block) -> np.ndarray:
+        """log10 probabilities of the block's texts, each traversed from left to right.
+
+        The state that a step leads to is the longest context in the model, which the last bigram tells; so all
+        texts' steps are taken side by side, and their weights are added up in the texts' order.
+        """
+        state = np.empty(len(block.token), dtype=np.int64)
+        state[1:] = self.bigram_state[block.bigram[:-1]]
+        state[np.searchsorted(block.row, np.arange(len(block.starts)))] = self.start
+        return np.bincount(block.row, weights=self.step(state, block.token)[1], minlength=len(block.starts))
 
 
 def _blocks(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -390,10 +401,8 @@ def scores(docs: DataFrame, train, least: int = MIN_COUNT) -> DataFrame:
                 if tokens:
                     automaton = Automaton(block, [words, bigrams], [*_of_kind(more, AFTER_WORDS, 2), *_of_kind(more, AFTER_BIGRAMS, 3)], tokens, types, least)
                     logs = np.log10(words + 1.0)
-                    for text, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-                        ids = block.token[a:b]
-                        base[text] = logs[ids].sum() - (b - a) * np.log10(tokens + types + 1.0)
-                        score[text] = automaton.score(ids.tolist())
+                    base = np.bincount(block.row, weights=logs[block.token], minlength=len(base)) - n_tokens * np.log10(tokens + types + 1.0)
+                    score = automaton.scores(block)
                 rows = batch.column("rows")[i].values
                 columns = [rows.field(c) for c in carried]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score)], [f.name for f in schema])

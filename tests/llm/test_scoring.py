@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pilespan.llm import scoring
 from pyspark.sql import functions as F
@@ -95,6 +96,28 @@ def test_hot_contexts_and_layout(spark, small):
     assert seen[0] == seen[1] == seen[2]  # to the last bit
 
 
+def test_steps_lead_to_the_states_that_scores_takes():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(30))).encode() for _ in range(60)]
+    block = scoring.Block(scoring._block([scoring.word_hashes(t) for t in texts], [i % 3 > 0 for i in range(60)]))
+    words, bigrams = block.word_counts, block.bigram_counts
+    more = block.trigrams(bigrams, 2)
+    known = np.nonzero(bigrams >= 2)[0]
+    kinds, times = (np.bincount(block.first[known], weights=w, minlength=len(words)).astype(int) for w in (np.ones(len(known)), bigrams[known]))
+    often = np.where(more.counts >= 2, more.counts, 0)
+    part_kinds, part_times = (np.bincount(more.below, weights=w, minlength=len(more.part_keys)).astype(int) for w in (often > 0, often))
+    automaton = scoring.Automaton(block, [words, bigrams], [kinds, times, part_kinds, part_times, more.counts], int(words.sum()), len(words), 2)
+    at, expected = 0, []
+    for text in texts:
+        state, total = np.array([automaton.start]), 0.0
+        for _ in range(len(text.split()) + 1):
+            state, weight = automaton.step(state, block.token[at : at + 1])
+            total += weight[0]
+            at += 1
+        expected.append(total)
+    assert len(automaton.fail) > 1 + len(words) and automaton.scores(block) == pytest.approx(expected, rel=1e-12)
+
+
 def test_probabilities_sum_to_one():
     model = Plain(["a b c a b", "a b c", "b c a b c d", "a b", "x y z a b c", "c c c"] * 3 + ["q r"])
     words = [g[0] for g in model.count if len(g) == 1]
