@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,11 @@ OPTIONS = [
     ("-t --temp-dir", "temp_dir", str),
     ("-Z --sizes-file", "sizes_file", str),
     ("-F --samples-file", "samples_file", str),
+    ("-mcq --min-column-quality", "min_column_quality", int),
+    ("-cm --cigar-mode", "cigar_mode", str),
+    ("-x --exclude-regions", "exclude_regions", lambda text: tuple(text.split(","))),
+    ("-n --size", "size", int),
+    ("-R --restart", "restart", None),
 ]
 
 
@@ -57,8 +63,6 @@ def parser() -> argparse.ArgumentParser:
         for flags, field, kind in OPTIONS:
             how = {"action": "store_true"} if kind is None else {"type": kind}
             own.add_argument(*flags.split(), dest=field, default=argparse.SUPPRESS, **how)
-        if name == "intervals":
-            own.add_argument("--size", type=int, required=True)
     own = commands.add_parser("annotate")
     own.add_argument("-r", dest="rna", required=True)
     own.add_argument("-d", dest="dna", required=True)
@@ -75,15 +79,21 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     given = vars(parser().parse_args(args))
     command = given.pop("command")
-    spark = spark or SparkSession.builder.appName("pilespan").getOrCreate()
+    if spark is None:
+        builder = SparkSession.builder.appName("pilespan")
+        if given.get("temp_dir"):  # where shuffles and spills go; has to be known before Spark starts
+            builder = builder.config("spark.local.dir", given["temp_dir"])
+        spark = builder.getOrCreate()
     if command == "pileup":
-        config = PileupConfig(**given)
+        config = run.with_coverage_dir(PileupConfig(**given))
         if not config.output:
-            config = PileupConfig(**given | {"output": config.default_output()})
+            config = replace(config, output=config.default_output())
         run.run_pileup(spark, config)
     elif command == "intervals":
-        size = given.pop("size")
-        sinks.write_intervals(run.run_intervals(spark, PileupConfig(**given), size), given["output"])
+        config = run.with_coverage_dir(PileupConfig(**given))
+        if not config.size or not config.output:
+            raise SystemExit("intervals need --size and --output")
+        sinks.write_intervals(run.run_intervals(spark, config, config.size), config.output)
     elif command == "annotate":
         sinks.write_table(run.run_annotation(spark, given["rna"], given["dna"], given["sizes"], given["homozygous"]), given["output"])
     elif command == "bed":

@@ -55,7 +55,7 @@ class PileupConfig:
     min_edits_per_nucleotide: int = 1
     min_edits: int = 0
     max_editing_nucleotides: int = 100
-    strand_mode: str = "confidence"  # or "max"
+    strand_mode: str = "confidence"  # or "max"; 1 and 2 mean confidence
     strand_threshold: float = 0.7
     strand_correction: bool = False
     verbose: bool = False
@@ -69,10 +69,14 @@ class PileupConfig:
     sizes_file: str | None = None
     samples_file: str | None = None
     exclude_regions: tuple[str, ...] = field(default=())
+    size: int | None = None  # intervals that a depth file is cut into
+    restart: bool = False  # leave out the parts that an earlier run finished
 
     def __post_init__(self) -> None:
         if self.strand not in (0, 1, 2):
             raise ValueError("strand is 0, 1 or 2")
+        if self.strand_mode in ("1", "2", 1, 2):
+            object.__setattr__(self, "strand_mode", "confidence")
         if self.strand_mode not in ("confidence", "max"):
             raise ValueError("strand_mode is confidence or max")
         if self.cigar_mode not in ("compat", "full"):

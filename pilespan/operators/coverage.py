@@ -47,13 +47,14 @@ def greedy_intervals(coverage: DataFrame, size: int, total: int | None = None, r
     """
     if region is not None:
         coverage = clip(coverage.withColumn("pos0", F.col("position") - 1), region).drop("pos0")
-    goal = int(total if total is not None else total_weight(coverage).first()["total"]) // size
+    # a scalar subquery of the same plan, unless the total is known
+    whole = total_weight(coverage).scalar() if total is None else F.lit(decimal.Decimal(total)).cast("decimal(38,0)")
     widest = min(WIDEST, GENOME // size)
     rows = coverage.where(~F.col("region").isin(*exclude_regions)) if exclude_regions else coverage
-    rows = rows.select("region", F.col("position").cast("long").alias("position"), F.col("depth").cast("long").alias("depth"))
+    rows = rows.select("region", F.col("position").cast("long").alias("position"), F.col("depth").cast("long").alias("depth"), whole.cast("string").alias("total"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, start, end, held = None, None, None, 0
+        name, start, end, held, goal = None, None, None, 0, None
         done: list[tuple] = []
 
         def close(reason: str) -> None:
@@ -63,6 +64,9 @@ def greedy_intervals(coverage: DataFrame, size: int, total: int | None = None, r
             start, end, held = None, None, 0
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            goal = int(batch.column("total")[0].as_py()) // size
             regions = batch.column("region").dictionary_encode()
             codes = regions.indices.to_numpy(zero_copy_only=False)
             edges = np.nonzero(np.r_[True, codes[1:] != codes[:-1]])[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import PileupConfig
 from ..functions.scalars import BASES, complement, complement_counts, region_key, safe_share
+from ..sources.fasta import PIECE
 
 KEYS = ["sample", "region", "pos0"]
 
@@ -30,7 +31,16 @@ def sum_bases(bases: DataFrame, strand: Column, keys: list[str] = KEYS) -> DataF
 
 
 def with_reference(sums: DataFrame, reference: DataFrame) -> DataFrame:
-    """sums with column ref, upper case; positions without a base A, C, G or T there go."""
+    """sums with column ref, upper case; positions without a base A, C, G or T there go.
+
+    reference: bases (region, pos0, base), or the aligned pieces (region, piece, seq) of a genome, which travel as a row for
+    thousands of bases.
+    """
+    if "seq" in reference.columns:
+        known = reference.select(region_key("region").alias("_key"), F.col("piece").alias("_piece"), "seq")
+        out = sums.join(known, (region_key(sums["region"]) == known["_key"]) & (F.floor(sums["pos0"] / PIECE) == known["_piece"]))
+        base = F.upper(F.col("seq").substr((F.col("pos0") % PIECE + 1).cast("int"), F.lit(1)))
+        return out.withColumn("ref", base).where(F.col("ref").isin(*BASES)).drop("_key", "_piece", "seq")
     known = reference.select(region_key("region").alias("_key"), F.col("pos0").alias("_pos0"), F.upper("base").alias("ref")).where(F.col("ref").isin(*BASES))
     return sums.join(known, (region_key(sums["region"]) == known["_key"]) & (sums["pos0"] == known["_pos0"])).drop("_key", "_pos0")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Region
 from ..functions.scalars import region_key
+from .reads import with_end
 
 
 def splice_positions(sites: DataFrame, span: int = 4) -> DataFrame:
@@ -63,6 +64,25 @@ def restrict(rows: DataFrame, positions: DataFrame | None) -> DataFrame:
     return out.where(F.col("_hit").isNotNull() | F.col("_named").isNull()).drop("_region_key", "_named", "_key", "_pos0", "_hit")
 
 
+def near(reads: DataFrame, positions: DataFrame | None, bin_bits: int = 14) -> DataFrame:
+    """The reads (region, start0, cigar) that may touch a position; those of a chromosome without any all stay.
+
+    A bound before reads become bases: a read that spans less than a bin touches positions of its own or the
+    next bin only, so the bins with positions, and those before them, are met; longer reads stay.
+    """
+    if positions is None:
+        return reads
+    at = keyed(positions)
+    own = F.shiftright("_pos0", bin_bits)
+    bins = at.select("_key", F.explode(F.array(own, own - 1)).alias("_bin")).distinct().withColumn("_hit", F.lit(True))
+    named = at.select(F.col("_key").alias("_named")).distinct()
+    out = with_end(reads).withColumn("_read_key", region_key("region"))
+    out = out.join(named, out["_read_key"] == named["_named"], "left")
+    out = out.join(bins, (out["_read_key"] == bins["_key"]) & (F.shiftright(out["start0"], bin_bits) == bins["_bin"]), "left")
+    stay = F.col("_hit").isNotNull() | F.col("_named").isNull() | (F.col("end0") - F.col("start0") > (1 << bin_bits))
+    return out.where(stay).select(*[out[c] for c in reads.columns])
+
+
 def clip(rows: DataFrame, region: Region | None) -> DataFrame:
     """rows whose 1-based position lies in the region, both ends included."""
     if region is None:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PileupConfig, Region
-from ..functions.scalars import bit, region_key
+from ..functions.scalars import bit
+from .cigar import tokens
 
 #: Flags of pairs in which neither read is mapped, and of properly paired reads.
 UNMAPPED_PAIR, PROPER_PAIR = (77, 141), (99, 147, 83, 163)
@@ -58,9 +59,23 @@ def read_strand(strand: int, dna: bool = False) -> Column:
     return F.when(bit("flag", 16) == turned, "-").otherwise("+")
 
 
+def with_end(reads: DataFrame) -> DataFrame:
+    """reads with column end0, past the last position of the reference that they span (start0 without an alignment)."""
+    span = F.aggregate(tokens(), F.lit(0).cast("long"), lambda s, t: s + F.when(F.substring(t, -1, 1).isin("M", "D", "N", "=", "X"), F.regexp_extract(t, "[0-9]+", 0).cast("long")).otherwise(F.lit(0)))
+    return reads.withColumn("end0", F.col("start0") + F.coalesce(span, F.lit(0)))
+
+
 def fetch(reads: DataFrame, region: Region | None) -> DataFrame:
-    """Reads of a region; all of a position's reads, so a part's counts are those of the whole."""
+    """Reads of a region; all of a position's reads, so a part's counts are those of the whole.
+
+    All conditions are on plain columns, so that they reach the scan: with end0 stored (see with_end) both ends of the
+    region skip row groups.
+    """
     if region is None:
         return reads
-    out = reads.where(region_key("region") == region_key(F.lit(region.name)))
-    return out if region.end is None else out.where(F.col("start0") < region.end)
+    name = region.name.removeprefix("chr")
+    out = reads.where(F.col("region").isin(name, "chr" + name))
+    if region.end is None:
+        return out
+    out = out.where(F.col("start0") < region.end)
+    return out.where(F.col("end0") >= region.start) if "end0" in reads.columns else out

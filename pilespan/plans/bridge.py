@@ -5,10 +5,13 @@ Whole-number arithmetic, so that any SQL engine gets the same rows; see FIXTURES
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.fasta import chunked
+from ..operators.cigar import aligned_pairs
+from ..sources.fasta import chunked, pieces
 
 #: CIGARs by read id modulo 11.
 CIGARS = ("40M", "5S35M", "20M3D20M", "15M2I23M", "18M50N22M", "3H37M", "38M2S", "10M2X28M", "25M", "1S12M1D10M2I15M", "36M4S")
@@ -83,6 +86,11 @@ def reference_chunks(spark: SparkSession) -> DataFrame:
     return chunked(reference(spark), 1000)
 
 
+def reference_pieces(spark: SparkSession) -> DataFrame:
+    """(region, piece, seq): the same in the pieces that sums are joined with."""
+    return pieces(reference_chunks(spark))
+
+
 def sizes(spark: SparkSession) -> DataFrame:
     """(region, length, ord)."""
     return spark.range(CHROMOSOMES).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("region"), F.lit(REFERENCE_LENGTH).cast("long").alias("length"), F.col("id").cast("int").alias("ord"))
@@ -102,15 +110,43 @@ def pick(pairs: DataFrame) -> DataFrame:
 
 
 def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(region, coordinate, kind, strand), one a part of every tenth key."""
+    """(region, coordinate, kind, strand), one a part; every tenth position, so that most positions lie off all of them."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").where(k % 10 == 0)
-    return rows.select(F.concat(F.lit("chr"), (1 + k % 3).cast("string")).alias("region"), ((k * 7) % 5000).alias("coordinate"), F.when(k % 20 == 0, "D").otherwise("A").alias("kind"), F.when(k % 3 == 0, "-").otherwise("+").alias("strand"))
+    donor, even = k % 4 < 2, k % 2 == 0
+    rows = table(spark, sf_dir, "part")
+    return rows.select(F.concat(F.lit("chr"), (1 + k % 3).cast("string")).alias("region"), ((k * 7) % 500 * 10).alias("coordinate"), F.when(donor, "D").otherwise("A").alias("kind"), F.when(donor == even, "+").otherwise("-").alias("strand"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(region, start, end) as text, 1-based inclusive, on chr1 and chr2 only; some without an end."""
+    """(region, start, end) as text, 1-based inclusive, one a part, on chr1 and chr2 only; some without an end."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").where(k % 7 == 0)
-    start = (k * 13) % 5000 + 1
+    rows = table(spark, sf_dir, "part")
+    start = (k * 13) % 100 * 50 + 1
     return rows.select(F.concat(F.lit("chr"), (1 + k % 2).cast("string")).alias("region"), start.cast("string").alias("start"), F.when(k % 3 != 0, (start + k % 20).cast("string")).alias("end"))
+
+
+def sam_lines(reads: DataFrame) -> DataFrame:
+    """(value): the reads as SAM text, with their bases and qualities; a base that isn't aligned is A."""
+    known = pick(aligned_pairs(reads)).groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct("qpos", "base"))).alias("_bases"))
+    places = F.sequence(F.lit(0).cast("long"), F.col("qlen") - 1)
+    seq = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("_bases", i), F.lit("A"))), "")
+    quals = F.array_join(F.transform(places, lambda i: F.char(33 + 24 + (3 * F.col("read_id") + 7 * i + F.col("c")) % 17)), "")
+    fields = [F.col("read_id"), F.col("flag"), F.col("region"), F.col("start0") + 1, F.col("mapq"), F.col("cigar"), F.lit("*"), F.lit(0), F.lit(0), seq, quals]
+    rows = reads.join(known, "read_id", "left")
+    return rows.select(F.concat_ws("\t", *[f.cast("string") for f in fields], F.when(F.col("has_sa"), "SA:Z:chr1,1,+,40M,60,0;")).alias("value"))
+
+
+def fasta_lines(chunks: DataFrame) -> DataFrame:
+    """(value): pieces of sequence (region, start0, seq) as the lines of a FASTA file, one task a chromosome."""
+    heads = chunks.select("region").distinct().select("region", F.lit(-1).cast("long").alias("start0"), F.concat(F.lit(">"), "region", F.lit(" made up")).alias("value"))
+    lines = chunks.select("region", F.col("start0").cast("long").alias("start0"), F.col("seq").alias("value"))
+    return heads.union(lines).repartition("region").sortWithinPartitions("region", "start0").select("value")
+
+
+def written(lines: DataFrame, what: str) -> str:
+    """Write lines as text files in the folder that driver and executors share; their path."""
+    spark = lines.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
+    path = f"{shared.rstrip('/')}/pilespan-{what}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path

@@ -74,13 +74,13 @@ FROM ({pairs_sql(f"SELECT * FROM ({reads}) WHERE {KEEP}", mode)}) p JOIN ({REFER
 
 
 SPLICE = """
-SELECT DISTINCT 'chr' || (1 + p_partkey % 3) AS region, (p_partkey * 7) % 5000
-  + j * CASE WHEN (p_partkey % 20 = 0) = (p_partkey % 3 <> 0) THEN 1 ELSE -1 END AS pos0
-FROM part, (SELECT unnest(range(1, 5)) AS j) WHERE p_partkey % 10 = 0"""
+SELECT DISTINCT region, site + j * CASE WHEN (kind = 'D') = (strand = '+') THEN 1 ELSE -1 END AS pos0
+FROM (SELECT 'chr' || (1 + p_partkey % 3) AS region, (p_partkey * 7) % 500 * 10 AS site, CASE WHEN p_partkey % 4 < 2 THEN 'D' ELSE 'A' END AS kind,
+  CASE WHEN (p_partkey % 4 < 2) = (p_partkey % 2 = 0) THEN '+' ELSE '-' END AS strand FROM part), (SELECT unnest(range(1, 5)) AS j)"""
 
 TARGETS = """
-SELECT DISTINCT region, unnest(range(s - 1, e)) AS pos0 FROM (SELECT 'chr' || (1 + p_partkey % 2) AS region, (p_partkey * 13) % 5000 + 1 AS s,
-  (p_partkey * 13) % 5000 + 1 + CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 20 ELSE 0 END AS e FROM part WHERE p_partkey % 7 = 0)"""
+SELECT DISTINCT region, unnest(range(s - 1, e)) AS pos0 FROM (SELECT 'chr' || (1 + p_partkey % 2) AS region, (p_partkey * 13) % 100 * 50 + 1 AS s,
+  (p_partkey * 13) % 100 * 50 + 1 + CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 20 ELSE 0 END AS e FROM part)"""
 
 RUNS = """
 SELECT region, min(pos0) AS start0, max(pos0) + 1 AS end0, CAST(count(*) AS BIGINT) AS length, symbol FROM (
@@ -217,8 +217,8 @@ SQL: dict[str, str] = {
     "greedy_intervals": f"SELECT region, start, \"end\", CAST(weight AS BIGINT) AS weight, width, reason FROM ({intervals_sql(16)})",
     "fixed_intervals": "SELECT 'chr' || r AS region, s AS start, least(s + 999, 5120) AS \"end\" FROM (SELECT unnest(range(1, 4)) AS r), (SELECT unnest(range(1, 5121, 1000)) AS s)",
     "interval_overlap_join": f"""SELECT read_id, r.region, r.start0, r.start0 + qlen AS end0, t.start0 AS other_start0, t.end0 AS other_end0
-FROM ({RNA}) r JOIN (SELECT 'chr' || (1 + p_partkey % 2) AS region, (p_partkey * 13) % 5000 AS start0,
-  (p_partkey * 13) % 5000 + 1 + CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 20 ELSE 0 END AS end0 FROM part WHERE p_partkey % 7 = 0) t
+FROM ({RNA}) r JOIN (SELECT DISTINCT 'chr' || (1 + p_partkey % 2) AS region, (p_partkey * 13) % 100 * 50 AS start0,
+  (p_partkey * 13) % 100 * 50 + 1 + CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 20 ELSE 0 END AS end0 FROM part) t
 ON r.region = t.region AND r.start0 < t.end0 AND t.start0 < r.start0 + r.qlen""",
     "multisample_pileup": sites_sql(SAMPLES, strand=1),
     "sample_summary": f"SELECT sample, CAST(count(*) AS BIGINT) AS n_sites, CAST(count(*) FILTER (all_subs <> '-') AS BIGINT) AS n_edited, CAST(sum(coverage) AS BIGINT) AS n_bases FROM ({sites_sql(SAMPLES, strand=1)}) GROUP BY 1",
@@ -237,5 +237,6 @@ WHEN alts + CASE WHEN nr > 0 THEN 1 ELSE 0 END > 2 THEN 'changes' WHEN alts = 0
     FROM ({sites_sql(strand=1, min_quality=0)}))) GROUP BY 1""",
     "remaining_intervals": "SELECT 'chr' || r AS region, s AS start, least(s + 999, 5120) AS \"end\" FROM (SELECT unnest(range(1, 4)) AS r), (SELECT unnest(range(1, 5121, 1000)) AS s) WHERE r <> 2",
     "substitution_spectrum": SPECTRUM,
+    "pileup_from_files": sites_sql(),
     "pileup_flagship": FLAGSHIP,
 }

@@ -16,19 +16,21 @@ from ..operators.pileup import filter_columns, sites, sum_bases, with_reference
 from ..operators.reads import fetch, filter_reads, read_strand
 
 
-def kept_bases(reads: DataFrame, config: PileupConfig, pick=pick_bases) -> DataFrame:
-    """The bases that count. pick adds base and qual to aligned pairs; by default from seq and quals."""
-    pairs = aligned_pairs(filter_reads(fetch(reads, config.region), config), config.cigar_mode)
+def kept_bases(reads: DataFrame, config: PileupConfig, pick=pick_bases, targets: DataFrame | None = None) -> DataFrame:
+    """The bases that count. pick adds base and qual to aligned pairs; by default from seq and quals.
+
+    targets: reads that surely touch none of these positions go before they become bases.
+    """
+    pairs = aligned_pairs(at.near(filter_reads(fetch(reads, config.region), config), targets), config.cigar_mode)
     return base_ops.filter_bases(pick(pairs), config)
 
 
 def column_sites(kept: DataFrame, reference: DataFrame, config: PileupConfig, targets: DataFrame | None = None, excluded: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Sites before the column filters.
 
-    Targets select before the sums, since they leave few positions; exclusions leave most, so they
-    are taken from the sums, which are fewer than the bases.
+    Targets and exclusions meet the sums, which are fewer than the bases; reads far from all targets are gone before.
     """
-    sums = sum_bases(at.clip(at.restrict(kept, targets), config.region), read_strand(config.strand, config.dna))
+    sums = at.restrict(sum_bases(at.clip(kept, config.region), read_strand(config.strand, config.dna)), targets)
     for positions in excluded:
         sums = at.exclude(sums, positions)
     return sites(with_reference(sums, reference), config)
@@ -36,7 +38,7 @@ def column_sites(kept: DataFrame, reference: DataFrame, config: PileupConfig, ta
 
 def pileup(reads: DataFrame, reference: DataFrame, config: PileupConfig, targets: DataFrame | None = None, excluded: tuple[DataFrame, ...] = (), pick=pick_bases) -> DataFrame:
     """The table of sites of every sample; sample is part of every key, so one run serves many."""
-    return filter_columns(column_sites(kept_bases(reads, config, pick), reference, config, targets, excluded), config)
+    return filter_columns(column_sites(kept_bases(reads, config, pick, targets), reference, config, targets, excluded), config)
 
 
 def dna_annotated(rna: DataFrame, dna_reads: DataFrame, reference: DataFrame, config: PileupConfig, homozygous_only: bool = False, pick=pick_bases) -> DataFrame:

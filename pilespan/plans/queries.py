@@ -18,8 +18,8 @@ from ..operators import reports
 from ..operators.annotate import annotate
 from ..operators.cigar import aligned_pairs, cigar_ops
 from ..operators.islands import homopolymer_runs, positions_to_intervals
-from ..sources import sinks
-from ..sources.fasta import lengths
+from ..sources import alignments, sinks
+from ..sources.fasta import lengths, pieces, read_fasta
 from . import bridge
 from .pileups import column_sites, kept_bases, pileup
 
@@ -40,7 +40,7 @@ def _flat(sites: DataFrame) -> DataFrame:
 
 
 def _pileup(spark: SparkSession, d: str, config: PileupConfig = CONFIG, **more) -> DataFrame:
-    return pileup(_reads(spark, d), bridge.reference(spark), config, pick=bridge.pick, **more)
+    return pileup(_reads(spark, d), bridge.reference_pieces(spark), config, pick=bridge.pick, **more)
 
 
 def _piled(config: PileupConfig = CONFIG) -> Callable[[SparkSession, str], DataFrame]:
@@ -89,12 +89,12 @@ def _dna_config() -> PileupConfig:
 
 def pileup_dna(spark: SparkSession, d: str) -> DataFrame:
     targets = at.interval_positions(_targets(spark, d))
-    return _flat(pileup(bridge.dna_reads(spark, d), bridge.reference(spark), _dna_config(), targets=targets, pick=bridge.pick))
+    return _flat(pileup(bridge.dna_reads(spark, d), bridge.reference_pieces(spark), _dna_config(), targets=targets, pick=bridge.pick))
 
 
 def _annotated(spark: SparkSession, d: str, homozygous_only: bool) -> DataFrame:
     rna = _pileup(spark, d, STRANDED)
-    dna = pileup(bridge.dna_reads(spark, d), bridge.reference(spark), _dna_config(), pick=bridge.pick)
+    dna = pileup(bridge.dna_reads(spark, d), bridge.reference_pieces(spark), _dna_config(), pick=bridge.pick)
     out = annotate(rna, dna, homozygous_only)
     text = lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")).when(F.size(c) == 0, "-")
     counts = [F.get("g_base_count", F.lit(i)).alias(f"g_n_{b}") for i, b in enumerate("acgt")]
@@ -111,11 +111,11 @@ def _fixed(spark: SparkSession) -> DataFrame:
 
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     reads = _reads(spark, d).select("read_id", "region", "start0", (F.col("start0") + F.col("qlen")).alias("end0"))
-    return at.interval_overlap(reads, _targets(spark, d), 8)
+    return at.interval_overlap(reads, _targets(spark, d).distinct(), 8)
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return pileup(bridge.rna_reads(spark, d), bridge.reference(spark), STRANDED, pick=bridge.pick)
+    return pileup(bridge.rna_reads(spark, d), bridge.reference_pieces(spark), STRANDED, pick=bridge.pick)
 
 
 def sample_runtime(spark: SparkSession, d: str) -> DataFrame:
@@ -142,10 +142,17 @@ def site_discard_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How many sites each column rule is the first to drop."""
     config = replace(STRANDED, min_column_quality=33, min_column_length=6, min_edits_per_nucleotide=2, max_editing_nucleotides=2, strict=True)
     kept = kept_bases(_reads(spark, d), config, bridge.pick)
-    told = pile_ops.site_discard_reasons(column_sites(kept, bridge.reference(spark), config), config)
+    told = pile_ops.site_discard_reasons(column_sites(kept, bridge.reference_pieces(spark), config), config)
     return told.groupBy("reason").agg(F.count("*").alias("n_sites"))
 
 
+def pileup_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """The reads as SAM files and the reference as FASTA files, written, read again and piled up."""
+    sam = bridge.written(bridge.sam_lines(_reads(spark, d)), "sam")
+    genome = bridge.written(bridge.fasta_lines(bridge.reference_chunks(spark)), "fasta")
+    return _flat(pileup(alignments.read_sam(spark, sam, "all"), pieces(read_fasta(spark, genome)), CONFIG))
+
+
 def _strands(strand: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: _reads(spark, d).select("read_id", "flag", read_ops.read_strand(strand).alias("strand"))
 
@@ -196,5 +203,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_discard_reasons": site_discard_reasons,
     "remaining_intervals": lambda s, d: reports.remaining(_fixed(s), _fixed(s).where("region = 'chr2'")),
     "substitution_spectrum": lambda s, d: reports.substitution_spectrum(_pileup(s, d, STRANDED)),
+    "pileup_from_files": pileup_from_files,
     "pileup_flagship": pileup_flagship,
 }

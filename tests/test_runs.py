@@ -22,7 +22,8 @@ def files(tmp_path):
 
 def test_every_field_is_an_option():
     fields = {f for _, f, _ in OPTIONS}
-    assert set(PileupConfig.__dataclass_fields__) - fields == {"min_column_quality", "cigar_mode", "exclude_regions"}
+    assert set(PileupConfig.__dataclass_fields__) == fields
+    assert {PileupConfig(strand_mode=m).strand_mode for m in ("1", "2", 1, "confidence")} == {"confidence"}
     with pytest.raises(SystemExit):
         parser().parse_args([])
 
@@ -60,3 +61,31 @@ def test_samples(spark, files):
     d = str(files)
     main(["pileup", "-F", f"{d}/list.txt", "-r", f"{d}/x.fa", "-mrl", "1", "-o", f"{d}/many"], spark)
     assert tables.read_sites(spark, f"{d}/many/one").count() == 13 and tables.read_sites(spark, f"{d}/many/two").count() == 9
+
+
+def test_intervals_restart_and_reports(spark, files):
+    d = str(files)
+    main(["coverage", "-i", f"{d}/one.sam", "-o", f"{d}/covs/one"], spark)
+    args = ["pileup", "-f", f"{d}/one.sam", "-r", f"{d}/x.fa", "-mrl", "1", "-D", f"{d}/covs/one", "-n", "3", "-V", "-o", f"{d}/parts"]
+    main(args, spark)
+    parts = sorted(p.name for p in (files / "parts").iterdir())
+    assert len(parts) > 1 and all(p.startswith("chr1_") for p in parts)
+    whole = sorted((r.position, r.coverage) for p in parts for r in tables.read_sites(spark, f"{d}/parts/{p}").collect())
+    assert [x for x, _ in whole] == list(range(1, 14)) and [c for _, c in whole] == [1, 2, 3, 4, 5, 6, 6, 6, 5, 4, 3, 2, 1]
+    told = {(r.what, r.reason): r.n for r in spark.read.json(f"{d}/parts.run/discarded").collect()}
+    assert told["read", None] == 6 and told["base", None] == 48 and told["site", None] == 13
+    times = spark.read.json(f"{d}/parts.run/times").collect()
+    assert sorted(r.content for r in times) == parts and spark.read.json(f"{d}/parts.run/groups").count() == len(parts)
+    assert spark.read.json(f"{d}/parts.run/intervals").count() == len(parts) and spark.read.json(f"{d}/parts.run/files").count() == 3
+    assert spark.read.json(spark.read.text(f"{d}/parts.run/timeline").rdd.map(lambda r: r.value)).count() == len(parts)
+    (files / "parts" / parts[0] / "_SUCCESS").unlink()
+    before = {p: sorted(x.name for x in (files / "parts" / p).glob("part-*")) for p in parts}
+    main([*args, "-R"], spark)
+    after = {p: sorted(x.name for x in (files / "parts" / p).glob("part-*")) for p in parts}
+    assert [p for p in parts if before[p] != after[p]] == parts[:1]  # the others stay as they were
+
+
+def test_excluded_regions_and_strand_mode(spark, files):
+    d = str(files)
+    main(["pileup", "-f", f"{d}/one.sam", "-r", f"{d}/x.fa", "-mrl", "1", "-x", "chrM,1", "-T", "1", "-o", f"{d}/none"], spark)
+    assert tables.read_sites(spark, f"{d}/none").count() == 0

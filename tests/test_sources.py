@@ -2,13 +2,15 @@
 
 import gzip
 import io
+import random
 import struct
 import zlib
 
 import pytest
 
-from pilespan.config import PileupConfig
+from pilespan.config import PileupConfig, Region
 from pilespan.operators import positions
+from pilespan.operators import reads as read_ops
 from pilespan.plans.pileups import pileup
 from pilespan.sources import alignments, fasta, sinks, tables
 from pyspark.sql import functions as F
@@ -49,6 +51,106 @@ def test_fasta(spark, tmp_path):
     assert "".join(r.seq for r in fasta.chunked(bases, 4).where("region = 'chr2'").orderBy("start0").collect()) == "GGTTT"
 
 
+def test_fasta_of_many_files_and_splits(spark, tmp_path):
+    """Files of different sizes in splits of a few lines, which Spark packs by size and not in the files' order."""
+    rng = random.Random(1)
+    expected = {}
+    (tmp_path / "genome").mkdir()
+    for n, size in enumerate([3000, 150, 1200, 40]):
+        lines = []
+        for c in "ab":
+            seq = "".join(rng.choice("ACGTN") for _ in range(size + rng.randrange(60)))
+            expected[f"chr{n}{c}"] = seq
+            lines += [f">chr{n}{c} x", *(seq[i : i + 60] for i in range(0, len(seq), 60))]
+        (tmp_path / f"genome/{n}.fa").write_text("\n".join(lines) + "\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        chunks = fasta.read_fasta(spark, f"{tmp_path}/genome")
+        got = {}
+        for r in chunks.collect():
+            got.setdefault(r.region, {})[r.start0] = r.seq
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {k: "".join(v[p] for p in sorted(v)) for k, v in got.items()} == expected
+    assert all(expected[k][p : p + len(s)] == s for k, v in got.items() for p, s in v.items())
+
+
+def test_pieces(spark, tmp_path):
+    seq = "".join(random.Random(2).choice("ACGT") for _ in range(103))
+    chunks = spark.createDataFrame([("chr1", i, seq[i : i + 7]) for i in range(0, 103, 7)] + [("2", 0, "GGG")], "region string, start0 long, seq string")
+    got = {(r.region, r.piece): r.seq for r in fasta.pieces(chunks, 10).collect()}
+    assert got == {("2", 0): "GGG"} | {("chr1", n): seq[10 * n : 10 * n + 10] for n in range(11)}
+
+
+def test_reads_near_positions(spark):
+    """What near() drops touches no position; it leaves chromosomes without positions and long reads alone."""
+    rows = [("a", "chr1", 100, "50M"), ("b", "chr1", 16380, "10M"), ("c", "chr1", 40000, "50M"), ("d", "chr1", 5, "10M30000N10M"), ("e", "chr2", 9, "5M")]
+    reads = spark.createDataFrame(rows, "read_id string, region string, start0 long, cigar string")
+    at = spark.createDataFrame([("1", 16385)], "region string, pos0 long")
+    assert sorted(r.read_id for r in positions.near(reads, at).collect()) == ["a", "b", "d", "e"]
+    assert positions.near(reads, at).columns == reads.columns and positions.near(reads, None) is reads
+
+
+def test_fetch_reaches_the_scan(spark, tmp_path):
+    rows = [(str(i), "chr1" if i % 2 else "2", 10 * i, 0, 60, "20M", "A" * 20, None, False) for i in range(300)]
+    reads = spark.createDataFrame(rows, alignments.READS)
+    alignments.write_parquet(reads, str(tmp_path / "reads"), 4)
+    stored = alignments.read_parquet(spark, str(tmp_path / "reads"))
+    got = read_ops.fetch(stored, Region("1", 1001, 1100))
+    kept = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", kept)
+    assert "In(region, [1,chr1])" in plan and "LessThan(start0,1100)" in plan and "GreaterThanOrEqual(end0,1001)" in plan
+    expected = {r[0] for r in rows if r[1] == "chr1" and r[2] < 1100 and r[2] + 20 > 1000}
+    assert {r.read_id for r in got.collect()} == expected
+
+
+def bgzf(data, block):
+    """BGZF blocks of the data, and for each block (place in the data, place in the file)."""
+    out, places = b"", []
+    for at in range(0, len(data), block):
+        places.append((at, len(out)))
+        part = data[at : at + block]
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(part) + packer.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out + bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"), places
+
+
+def test_bam_in_parts(spark, tmp_path):
+    """A file with an index is read in parts that hold each record once, and a region reads its parts only."""
+    data = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 2) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 10**6) + struct.pack("<i", 5) + b"chr2\0" + struct.pack("<i", 10**6)
+    rng, starts = random.Random(3), []
+    for n in range(2000):
+        ref, pos = n // 1000, (n % 1000) * 900
+        starts.append((ref, pos, len(data)))
+        seq = "".join(rng.choice("ACGT") for _ in range(30))
+        data += bam_record(f"r{n}", ref, pos, 0, 60, [(30, "M")], seq, [rng.randrange(40) for _ in range(30)])
+    packed, places = bgzf(data, 3000)
+    (tmp_path / "x.bam").write_bytes(packed)
+
+    def virtual(at):
+        begin, place = max(p for p in places if p[0] <= at)
+        return place << 16 | at - begin
+
+    index = b"BAI\x01" + struct.pack("<i", 2)
+    for ref in range(2):
+        windows = [next((virtual(at) for r, p, at in starts if r == ref and p + 30 > w << 14), 0) for w in range(900 * 1000 >> 14)]
+        index += struct.pack("<i", 0) + struct.pack("<i", len(windows)) + struct.pack(f"<{len(windows)}Q", *windows)
+    whole = alignments.read_bam(spark, str(tmp_path / "x.bam")).orderBy("region", "start0").collect()
+    (tmp_path / "x.bam.bai").write_bytes(index)
+    parts = alignments.read_bam(spark, f"file://{tmp_path}/x.bam", split_bytes=10000)
+    assert parts.rdd.getNumPartitions() > 5 and parts.orderBy("region", "start0").collect() == whole and len(whole) == 2000
+    reader = alignments.BamReader([str(tmp_path / "x.bam")], 10000, ("2", 500_000, 520_000))
+    some = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+    assert len(reader.partitions()) < 3 and len(some) < 100 and {r["read_id"] for r in some} >= {r.read_id for r in whole if r.region == "chr2" and 499_970 < r.start0 < 520_000}
+    assert alignments.BamReader([str(tmp_path / "x.bam")], 10000, ("chr9", 1, 2)).partitions() == []
+
+
 def test_sam(spark, tmp_path):
     lines = ["@HD\tVN:1.6", "r1\t16\tchr1\t3\t60\t2S3M\t*\t0\t0\tACGTA\tIIII!\tNM:i:0", "r2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\t*", "r3\t0\tchr1\t1\t9\t2M\t*\t0\t0\tGG\tII\tSA:Z:x"]
     (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
