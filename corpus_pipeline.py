@@ -18,14 +18,20 @@ from pilespan.llm.packing import pack
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those whose text is null or has no letter go. A missing lang is filled in."""
+    """Documents in a language; those whose text is null or has no letter go. A missing lang is filled in.
+
+    Without labelled documents every text is rejected. Other columns stay, whatever their names.
+    """
     plain, names = shield(docs, "text", "lang")
     told = predict(plain, fit(plain), plain.columns)
     return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*plain.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles agree by 0.8 or more."""
+    """One document of each group whose five-word shingles agree by 0.8 or more, that with the least id.
+
+    Nulls, ties, repeated rows and empty tables are as drop_near_duplicates() says.
+    """
     return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
@@ -37,12 +43,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as they are taken."""
+    """The mix of sources: documents as often as they are taken, in part if need be; see mixed() for nulls and empty tables."""
     return mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids."""
+    """Sequences of at most 1024 ids; a null text is one id, an empty table gives no sequence."""
     return pack(docs, 1024)
 
 

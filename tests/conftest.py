@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
+        .config("spark.checkpoint.dir", str(folder / "shared"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
