@@ -33,8 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches handed to Python small; texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep the Arrow batches handed to Python small, as texts may be long, unless the session says how large they are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pilespan.llm import debruijn
 
 
@@ -32,7 +33,10 @@ def check(docs_of, rows, k):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == want
 
 
-def test_random_texts(docs_of):
+@pytest.mark.parametrize("hot", [1 << 20, 4])
+def test_random_texts(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(debruijn, "HOT_EDGES", hot)
+    monkeypatch.setattr(debruijn, "HOT_SHARE", 1)
     rng = random.Random(3)
     pieces = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 20))) for _ in range(12)]
     rows = [(i, "  ".join(rng.choice(pieces) + f" u{rng.randrange(40)}" for _ in range(rng.randrange(0, 6)))) for i in rng.sample(range(500), 80)]
@@ -60,6 +64,36 @@ def test_blocks_meet(docs_of, monkeypatch):
     check(docs_of, rows, 6)
 
 
+def test_hot_minimizers(docs_of):
+    """The filter has the minimizers with many edges, and edges of these only are split."""
+    df = docs_of([f"a b c d e f {i}" for i in range(40)] + ["q r s t u v w"], clashing=False)
+    words = np.array([debruijn.xxhash.xxh64_intdigest(w) for w in b"a b c d e f".split()], dtype=np.uint64)
+    often, alone = (debruijn._minimizers(w, 5) for w in (words, np.array([debruijn.xxhash.xxh64_intdigest(w) for w in b"q r s t u v w".split()], dtype=np.uint64)))
+    has = lambda bits, key: bits[int(key % debruijn.FILTER_BITS) >> 3] >> (int(key) & 7) & 1
+    assert debruijn.hot_minimizers(df, 5) is None
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(debruijn, "HOT_SHARE", 1)
+        patch.setattr(debruijn, "HOT_EDGES", 30)
+        bits = debruijn.hot_minimizers(df, 5)
+    assert all(has(bits, x) for x in often) and not any(has(bits, x) for x in alone if x not in often)
+
+
+def test_paths_are_compacted(spark):
+    rows = [(7, 1, 0, 14, 2, 5), (7, 1, 2, 15, 2, 7), (7, 1, 5, 13, 2, 10), (7, 1, 30, 13, 2, 35), (7, 1, 6, 13, 3, 6), (7, 2, 6, 13, 2, 11), (8, 1, 31, 13, 2, 36)]
+    got = sorted(map(tuple, debruijn.compacted(spark.createDataFrame(rows, debruijn.PATHS), 13).collect()))
+    assert got == sorted([(7, 1, 0, 18, 2, 5), (7, 1, 30, 13, 2, 35), (7, 1, 6, 13, 3, 6), (7, 2, 6, 13, 2, 11), (8, 1, 31, 13, 2, 36)])
+
+
+def test_sources_verify(docs_of, monkeypatch):
+    """Where windows of different words have the same hash, no word goes."""
+    words = b"a b c d e f g h".split()
+    good = {"start": 1, "stop": 4, "digest": debruijn.digest(words[1:4])}
+    assert debruijn.kept_words(b" ".join(words), [good, {"start": 3, "stop": 7, "digest": b"x"}]) == ([b"a", *words[4:]], 8)
+    monkeypatch.setattr(debruijn, "window_hashes", lambda w, k: np.zeros(max(0, len(w) - k + 1), dtype=np.uint64))
+    texts = ["a b c d e", "f g h i j", "a b c x y"]
+    assert [r.text for r in sorted(debruijn.remove_repeats(docs_of(texts[:2]), 3).collect())] == texts[:2]
+
+
 def test_empty(docs_of):
     assert debruijn.remove_repeats(docs_of([(1, "x")]).limit(0)).count() == 0
 
