@@ -21,9 +21,9 @@ from .common import documents, map_batches, only, small_batches
 
 #: Lengths of the n-grams, in letters; white space and everything else that is no letter is one sign.
 ORDERS = (2, 3, 4, 5)
-#: Bounds of the fit: labelled documents a language (about; drawn by hash), languages, n-grams kept
-#: a language and order, slots of the filter, slots an n-gram takes.
-FIT_DOCS, FIT_LANGUAGES, FIT_NGRAMS, SLOTS, PROBES = 4000, 256, 8192, 1 << 18, 2
+#: Parameters of the fit: labelled documents a language (about; drawn by hash), n-grams kept a language and
+#: order, slots of the filter, slots an n-gram takes. Every language that is labelled has a bit.
+FIT_DOCS, FIT_NGRAMS, SLOTS, PROBES = 4000, 8192, 1 << 18, 2
 #: Code points handled at once; longer texts are cut into parts that overlap.
 PART = 1 << 17
 BREAK = 32
@@ -118,18 +118,19 @@ class LanguageFilter:
 def fit(labelled: DataFrame) -> LanguageFilter | None:
     """A filter from columns text and lang; rows with a null in either are left out; None without rows.
 
-    The fit reads a sample of about FIT_DOCS documents of each of the FIT_LANGUAGES languages with the
-    most documents, drawn by a hash of the text, and keeps the n-grams that most of them have.
+    The fit reads a sample of about FIT_DOCS documents of each language, drawn by a hash of the text (so copies are drawn
+    together), and keeps the FIT_NGRAMS n-grams of each length that most of them have, ties by hash. What the driver
+    gets, and tasks share, grows with the number of languages only.
     """
     small_batches(labelled.sparkSession)
     known = only(labelled, "text", "lang").where("text is not null and lang is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, FIT_DOCS / r["count"]))])
-    number = F.create_map(*[F.lit(x) for n, lang in enumerate(languages) for x in (lang, n)])
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)).select(F.try_element_at(number, F.col("lang")).alias("lang"), "text")
+    number = {lang: n for n, lang in enumerate(languages)}
+    bounds = known.sparkSession.createDataFrame([(r["lang"], number[r["lang"]], int(min(1.0, FIT_DOCS / r["count"]) * (1 << 30))) for r in sizes], "lang string, number int, bound long")
+    drawn = known.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("bound")).select(F.col("number").alias("lang"), "text")
 
     def grams(batch: pa.RecordBatch) -> pa.Table | None:
         of = batch.column("lang").to_numpy(zero_copy_only=False)
@@ -153,8 +154,9 @@ def fit(labelled: DataFrame) -> LanguageFilter | None:
 def predict(docs: DataFrame, model: LanguageFilter | None, carry: list[str]) -> DataFrame:
     """The columns `carry` of docs, then lang_pred and score, from column text alone.
 
-    A text that is null or has no letter gets "und" and 0, and so does every text without a model; a
-    text with letters but no known n-gram gets the commonest language and 0.
+    A text that is null, empty or has no letter gets "und" and 0, and so does every text without a model; a
+    text with letters but no known n-gram gets the commonest language and 0. Ties go to the first name. Equal texts,
+    repeated rows among them, get the same; very long texts are counted in parts. Empty tables give none.
     """
     small_batches(docs.sparkSession)
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
