@@ -4,7 +4,8 @@ A template is aligned with a stretch of text on the words that are unique in bot
 sequence of them in the same order is kept, and the gaps between are aligned in the same way. The share of
 the template's words that are matched is its coverage. Which stretches to align follows from the least
 coverage: a stretch that reaches it has one of any (1 - coverage) n + 1 words of the template's n,
-so the scan looks for that many of its least common words and loses nothing.
+so the scan looks at every place of that many of its least common words. A stretch is found if no more words
+are inserted in it than may be missing, and a few (see slack()); of stretches that overlap the one with more matched and fewer other words is told.
 """
 
 from __future__ import annotations
@@ -18,42 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, only, small_batches
+from .license_texts import TEMPLATES
 
 #: Least coverage that is reported.
 COVERAGE = 0.8
 TOKEN = re.compile(r"\w+")
-#: Public license notices by SPDX name.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
-        "portions of the Software."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies."
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."
-    ),
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-}
+#: Most templates that a table may have: all tasks hold them.
+MOST_TEMPLATES = 10_000
 
 
 def words_of(text: str) -> list[str]:
@@ -127,7 +99,7 @@ class Scanner:
                 self.markers[w[at]].append((name, at))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, past the last) of the best stretch of each template found."""
+        """(template, coverage, first word, past the last) of every stretch; those of one template don't overlap."""
         words = words_of(text)
         starts: dict[str, set[int]] = defaultdict(set)
         markers = self.markers
@@ -137,45 +109,95 @@ class Scanner:
                     starts[name].add(p - at)
         out = []
         for name in sorted(starts):
-            template = self.words[name]
-            n, best = len(template), None
-            slack = n - _needed(n, self.coverage) + 8
-            covered = None
-            for start in sorted(starts[name]):
-                # first the stretch as long as the template (repeated notices have no word of their own in a wider one)
-                tries = [(max(0, start), start + n)]
-                if covered is None or start - covered > slack // 2:
-                    tries.append((max(0, start - slack), start + n + 2 * slack))
-                    covered = start
-                for a, b in tries:
-                    matched = patience(words[a : max(a, b)], template)
-                    if matched and (best is None or len(matched) > best[0]):
-                        best = len(matched), a + matched[0][0], a + matched[-1][0] + 1
-                if best and best[0] == n:
-                    break
-            if best and best[0] >= _needed(n, self.coverage):
-                out.append((name, best[0] / n, best[1], best[2]))
+            out += self._stretches(name, words, sorted(starts[name]))
         return out
 
+    def _stretches(self, name: str, words: list[str], starts: list[int]) -> list[tuple[str, float, int, int]]:
+        template = self.words[name]
+        n, needed = len(template), _needed(len(template), self.coverage)
+        slack, hits, whole = self.slack(n), set(), []
+        for start in starts:  # stretches without insertions, in which repeated notices have words of their own
+            more = 0
+            while more <= slack:
+                hit = self._aligned(words, max(0, start - more), min(len(words), start + n + more), template, needed, slack)
+                if hit and hit[3] >= needed:
+                    hits.add(hit)
+                if hit and hit[3] == n:
+                    whole.append(hit[1:3])
+                if hit is None or hit[3] == n or 2 * hit[3] < needed:
+                    break
+                more = max(1, 2 * more)  # then, if half is there, with some
+        covered = None
+        for start in starts:
+            known = bisect_left(whole, (start + 1,)) - 1
+            if 0 <= known and whole[known][0] <= max(0, start) < whole[known][1] or covered is not None and start - covered <= slack // 2:
+                continue
+            covered = start
+            hit = self._aligned(words, max(0, start - slack), min(len(words), start + n + 2 * slack), template, needed, slack)
+            if hit and hit[3] >= needed:
+                hits.add(hit)
+        found: list[tuple[int, int, int]] = []
+        for _, a, b, matched in sorted(hits):
+            if all(b <= x or y <= a for x, y, _ in found):
+                found.append((a, b, matched))
+        found.sort()
+        for i, (a, b, matched) in enumerate(found):  # once more, with what lies between the stretches around it
+            if matched < n:
+                low = max(a - slack, found[i - 1][1] if i else 0)
+                high = min(b + slack, found[i + 1][0] if i + 1 < len(found) else len(words))
+                hit = self._aligned(words, low, high, template, needed, slack)
+                if hit and hit[3] > matched:
+                    found[i] = hit[1:]
+        return [(name, matched / n, a, b) for a, b, matched in found]
+
+    def slack(self, n: int) -> int:
+        """Words that may be inserted in a stretch of a template of n words."""
+        return n - _needed(n, self.coverage) + 8
+
+    def _aligned(self, words: list[str], a: int, b: int, template: list[str], needed: int, slack: int) -> tuple[int, int, int, int] | None:
+        """(rank, first, past the last, matched words) of the best part of words[a:b] that isn't too long.
+
+        A matched word outweighs four others before it: a stretch goes on to it, but doesn't reach into the next.
+        """
+        pairs = patience(words[a:b], template)
+        best, first = None, 0
+        for last in range(len(pairs)):
+            while pairs[last][0] - pairs[first][0] >= len(template) + slack:
+                first += 1
+            for begin in {first, max(first, last + 1 - needed)}:
+                matched, length = last + 1 - begin, pairs[last][0] - pairs[begin][0] + 1
+                rank = (matched < needed, length - 5 * matched)
+                if best is None or rank < best[0]:
+                    best = rank, a + pairs[begin][0], a + pairs[last][0] + 1, matched
+        return best and (best[0][1], *best[1:])
+
 
 def _needed(n: int, coverage: float) -> int:
     """Words to match for the coverage."""
     return max(1, -int(-n * coverage // 1))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, license, coverage, first_word, end_word), a row for each template found in each whole text.
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, license, coverage, first_word, end_word), a row for each stretch of each template in each whole text.
 
-    A text without any, a null or an empty one has a single row with null license and coverage 0. Null ids
-    and repeated rows stay. Words are runs of letters, digits and underscores, in lower case.
+    templates: texts by name, or a table (license, text) of at most MOST_TEMPLATES rows. A text without any stretch, a null or an empty
+    one has a single row with null license and coverage 0. Null ids and repeated rows stay, each with its rows. Words
+    are runs of letters, digits and underscores, in lower case. Of overlapping stretches of one template that with
+    more matched and fewer other words is told, then the first; templates don't exclude each other. Other columns are
+    ignored. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        rows = only(templates, "license", "text").where("license is not null and text is not null").limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = {r["license"]: r["text"] for r in rows}
     scanner = Scanner(TEMPLATES if templates is None else templates, coverage)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            rows += [(doc, *x) for x in scanner.scan(text or "")] or [(doc, None, 0.0, None, None)]
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            rows += [(doc, *x) for x in scanner.scan(text.as_py() or "")] or [(doc, None, 0.0, None, None)]
         types = pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["doc_id", "license", "coverage", "first_word", "end_word"])
 
