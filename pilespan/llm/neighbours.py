@@ -86,30 +86,52 @@ def fit_lists(ids: np.ndarray, sample: np.ndarray, n: int, k: int, seed: int = 0
     return Lists(centres, rotation, min(lists, probes), ids[:FIRST_ROWS], sample[:FIRST_ROWS])
 
 
-def scan(asked: np.ndarray, bounds: np.ndarray, ids: np.ndarray, turned: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
-    """For each query the rows that may be among its k nearest.
+def scan(asked: np.ndarray, bounds: np.ndarray, ids: np.ndarray, turned: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row), ascending, of the rows that may be among a query's k nearest.
 
     bounds: squared distances that the k nearest don't exceed; ids and turned: the rows, of unit length and
-    rotated; own: mask (queries x rows) of rows that are the query's own.
+    rotated; own: mask (queries x rows) of rows that are the query's own. Each pair is given up by itself; while
+    many are left they are compared as a matrix.
     """
     d, alone = turned.shape[1], len(np.unique(ids)) == len(ids)
-    queries, out = _unit(asked) @ rotation, []
-    for q, bound, mine in zip(queries, bounds, own):
-        alive = np.nonzero(~mine)[0]
-        seeds = alive[: 8 * k]
-        limit = min(bound, kth(((turned[seeds] - q) ** 2).sum(1), ids[seeds], k, alone))
-        partial = np.zeros(len(alive))
-        for at in range(0, d, COLUMNS):
-            block = slice(at, min(d, at + COLUMNS))
-            partial += ((turned[alive, block] - q[block]) ** 2).sum(1)
-            seen = block.stop
-            slack = (1 + CONFIDENCE / np.sqrt(seen)) ** 2 * seen / d if seen < d else 1.0
-            keep = partial <= limit * slack + 1e-9
-            alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                break
-        out.append(alive[partial <= kth(partial, ids[alive], k, alone) + 1e-9])
-    return out
+    queries = _unit(asked) @ rotation
+    seeds = 2 - 2 * (queries @ turned[: 8 * k].T)
+    seeds[own[:, : 8 * k]] = np.inf
+    limit = np.minimum(bounds, [kth(row, ids[: 8 * k], k, alone) + 1e-9 for row in seeds])
+    alive, partial, i, j = ~own, np.zeros(own.shape), None, None
+    for at in range(0, d, COLUMNS):
+        block = slice(at, min(d, at + COLUMNS))
+        seen = block.stop
+        slack = (1 + CONFIDENCE / np.sqrt(seen)) ** 2 * seen / d if seen < d else 1.0
+        most = limit * slack + 1e-9
+        q, t = queries[:, block], turned[:, block]
+        if i is None:
+            partial += (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * (q @ t.T)
+            alive &= partial <= most[:, None]
+            if 4 * np.count_nonzero(alive) < alive.size:
+                i, j = np.nonzero(alive)
+                partial = partial[i, j]
+        else:
+            partial = partial + ((t[j] - q[i]) ** 2).sum(1)
+            keep = partial <= most[i]
+            i, j, partial = i[keep], j[keep], partial[keep]
+    if i is None:
+        i, j = np.nonzero(alive)
+        partial = partial[i, j]
+    edges = np.searchsorted(i, np.arange(len(queries) + 1))
+    keep = np.zeros(len(i), dtype=bool)
+    for a, b in zip(edges[:-1], edges[1:]):
+        keep[a:b] = partial[a:b] <= kth(partial[a:b], ids[j[a:b]], k, alone) + 1e-9
+    return i[keep], j[keep]
+
+
+def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query, each id counted once; ties to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    fresh = np.sort(np.unique(np.stack([query[order], ids[order]], 1), axis=0, return_index=True)[1]) if len(order) else order
+    order = order[fresh]
+    rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return order[rank < k]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -174,12 +196,11 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
 
     def first_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = lists.value.sample
-        norms = np.sqrt((sample * sample).sum(1))
         for batch in batches:
             if batch.num_rows:
                 ids, vectors = np.asarray(batch.column("id")), _matrix(batch.column("v"))
                 for q, v, (_, near) in zip(ids.tolist(), vectors, in_sample(ids, vectors)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(lists.value.ids[near]), pa.array(_cosine(v, sample[near], norms[near]))], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(lists.value.ids[near]), pa.array(_cosine(np.broadcast_to(v, (len(near), len(v))), sample[near]))], ["query_id", "vec_id", "score"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +227,7 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
     met = met.repartition("list", "part").sortWithinPartitions("list", "part", F.col("bound").isNotNull(), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, turned, norms = None, None, None, None, None
+        now, ids, rows, turned = None, None, None, None
         gathered: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
@@ -223,24 +244,15 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
                     continue
                 if ids is None and gathered:
                     ids, rows = np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered])
-                    turned, norms = _unit(rows) @ lists.value.rotation, np.sqrt((rows * rows).sum(1))
+                    turned = _unit(rows) @ lists.value.rotation
                 if ids is None:
                     continue
-                out = []
                 for c in range(a, b, QUERIES_AT_ONCE):
                     e = min(b, c + QUERIES_AT_ONCE)
-                    for q, query, left in zip(who[c:e], vectors[c:e], scan(vectors[c:e], bounds[c:e], ids, turned, lists.value.rotation, k, who[c:e, None] == ids[None, :])):
-                        scores = _cosine(query, rows[left], norms[left])
-                        best = np.lexsort((ids[left], -scores))
-                        seen: set[int] = set()
-                        for x in best.tolist():
-                            if (v := int(ids[left[x]])) not in seen:
-                                seen.add(v)
-                                out.append((int(q), v, float(scores[x])))
-                                if len(seen) == k:
-                                    break
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+                    i, j = scan(vectors[c:e], bounds[c:e], ids, turned, lists.value.rotation, k, who[c:e, None] == ids[None, :])
+                    scores = _cosine(vectors[c:e][i], rows[j])
+                    top = best(who[c:e][i], ids[j], scores, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(who[c:e][i[top]]), pa.array(ids[j[top]]), pa.array(scores[top])], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(compare, "query_id long, vec_id long, score double")
     found = found.union(asked.mapInArrow(first_found, found.schema)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -248,13 +260,14 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
     return work.last(found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
 
 
-def _cosine(query: np.ndarray, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; equal rows get equal values. Scaled where squares leave the range."""
-    own = np.sqrt((query * query).sum())
-    plain = (rows * query).sum(1) / np.where(norms * own > 0, norms * own, 1.0)
-    odd = ~(np.isfinite(plain) & (norms > 1e-150) & (own > 1e-150) & (norms < 1e150) & (own < 1e150))
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows of a and of b in double precision; equal pairs get equal values. Scaled where squares leave the range."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        left, right = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+        plain = (a * b).sum(1) / (left * right)
+    odd = ~(np.isfinite(plain) & (left > 1e-150) & (right > 1e-150) & (left < 1e150) & (right < 1e150))
     if odd.any():
-        plain[odd] = (_unit(rows[odd]) * _unit(query[None, :])).sum(1)
+        plain[odd] = (_unit(a[odd]) * _unit(b[odd])).sum(1)
     return np.clip(plain, -1.0, 1.0)
 
 

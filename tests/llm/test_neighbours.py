@@ -112,9 +112,17 @@ def test_pruning_keeps_the_nearest():
     rotation = np.linalg.lstsq(neighbours._unit(held), turned, rcond=None)[0]
     asked = held[:40] + 0.3 * rng.standard_normal((40, 64))
     own = np.zeros((40, 2000), dtype=bool)
+    i, j = neighbours.scan(asked, np.full(40, np.inf), np.arange(2000), turned, rotation, 5, own)
     hit = 0
-    for q, left in zip(asked, neighbours.scan(asked, np.full(40, np.inf), np.arange(2000), turned, rotation, 5, own)):
-        best = np.argsort(-(neighbours._unit(held) @ neighbours._unit(q[None])[0]))[:5]
-        hit += len(set(best) & set(left.tolist()))
+    for n, q in enumerate(asked):
+        left = j[i == n]
+        nearest = np.argsort(-(neighbours._unit(held) @ neighbours._unit(q[None])[0]))[:5]
+        hit += len(set(nearest) & set(left.tolist()))
         assert len(left) < 50
     assert hit >= 0.97 * 200
+
+
+def test_best_counts_an_id_once():
+    query, ids, scores = np.array([7, 7, 7, 7, 3, 3]), np.array([5, 5, 1, 9, 2, 4]), np.array([0.1, 0.9, 0.5, 0.5, 0.2, 0.2])
+    top = neighbours.best(query, ids, scores, 2)
+    assert [(query[x], ids[x], scores[x]) for x in top] == [(3, 2, 0.2), (3, 4, 0.2), (7, 5, 0.9), (7, 1, 0.5)]
