@@ -156,8 +156,10 @@ def take(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = S
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mix itself: each document as often as it is taken, a part of it as its first words.
 
-    Columns are those of docs. Rows come shard by shard, and in a shard by _key: the order of the output's
-    partitions is the order of the mix. A document without words is kept once if its source is taken in whole.
+    Columns are those of docs, whatever their names. Rows come shard by shard, and in a shard by _key: the order of the output's
+    partitions is the order of the mix. A document without words (null and empty texts among them) is kept once. Null ids
+    and sources are values like others; rows equal in id and text are taken alike. A part of a very long text is cut from
+    its first words. An empty table stays empty.
     """
     plain, names = shield(docs, "doc_id", "text", "source", "n_chars")
     took = take(plain, share, most, shards, seed)

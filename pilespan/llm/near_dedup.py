@@ -366,7 +366,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates, the one with the least id.
 
-    Rows that repeat an id and its text count as one document and stay together. Columns stay as they are.
+    Rows that repeat an id and its text count as one document and stay together; of rows with one id and
+    different texts that are near the one with the least hash of its text stays. A null id counts as larger than all others; null, empty
+    and wordless texts are one group. Columns stay as they are, whatever their names; an empty table stays empty. Very long texts
+    are read whole.
     """
     plain, names = shield(docs, "doc_id", "text")
     groups = near_duplicates(plain, shingle, similarity)
