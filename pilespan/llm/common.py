@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -57,21 +59,44 @@ def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """df with its lineage cut: what made it isn't run again when an executor is lost."""
-    return stored(df, what)[0]
+    """df with its lineage cut: what made it isn't run again when an executor is lost.
+
+    Inside of scratch() the table goes when that ends.
+    """
+    out, path = stored(df, what)
+    passing(path)
+    return out
+
+
+#: The innermost scratch() that is open.
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+def passing(path: str) -> None:
+    """Let a work table go with the scratch() that is open."""
+    if (work := _scratch.get()) is not None:
+        work.paths.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """The work tables made inside; all but last()'s are removed at the end."""
+    work = Scratch(spark)
+    token = _scratch.set(work)
+    try:
+        yield work
+    finally:
+        _scratch.reset(token)
+        work.clear()
+        if work.kept:
+            passing(work.kept)  # it goes with the call around this one
 
 
 class Scratch:
-    """The work tables of one call: made by it, and removed when its result is stored."""
+    """The work tables of one call."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.tables = spark, [], []
-
-    def cut(self, df: DataFrame, what: str) -> DataFrame:
-        """df as a work table."""
-        out, path = stored(df, what)
-        self.paths.append(path)
-        return out
+        self.spark, self.paths, self.tables, self.kept = spark, [], [], None
 
     def bucketed(self, df: DataFrame, what: str, key: str, n: int) -> DataFrame:
         """df as a work table in n buckets by key: joins on it with other such tables don't shuffle.
@@ -87,13 +112,16 @@ class Scratch:
         return self.spark.table(name)
 
     def last(self, df: DataFrame, what: str) -> DataFrame:
-        """df stored as the call's result; all tables before it go."""
-        out = cut(df, what)
+        """df stored as the call's result, which rests on no other work table."""
+        out, self.kept = stored(df, what)
+        return out
+
+    def clear(self) -> None:
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in self.paths:
             remove(self.spark, path)
-        return out
+        self.paths, self.tables = [], []
 
 
 def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, stored
+from .common import passing, remove, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         seen, old = state, path
         now, path = stored(_star(_star(now, True), False), "links")
         remove(spark, old)
+    passing(path)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

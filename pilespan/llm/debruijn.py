@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, cut, documents, mix64, only, shield, small_batches, split_by_keys, texts_of
+from .common import FILTER_BITS, cut, documents, mix64, only, scratch, shield, small_batches, split_by_keys, texts_of
 
 #: Words of the windows inside a k-word window from which its minimizer is taken.
 INNER = 4
@@ -291,11 +291,12 @@ def with_repeats(docs: DataFrame, k: int) -> DataFrame:
     Only documents that may have spans are shuffled to meet them.
     """
     marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_mark": F.xxhash64("text").bitwiseAND(0x7FFFFFFF)})
-    paths = cut(repeated_paths(marked.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), "text"), k), "paths")
-    paths = cut(compacted(paths, k), "compacted")
-    told = paths.join(source_digests(marked, paths), ["source", "source_start", "words"])
-    spans = told.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("words")).alias("stop"), "digest"))).alias("_spans"))
-    spans = cut(spans, "spans")
+    with scratch(docs.sparkSession) as work:
+        paths = cut(repeated_paths(marked.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), "text"), k), "paths")
+        paths = cut(compacted(paths, k), "compacted")
+        told = paths.join(source_digests(marked, paths), ["source", "source_start", "words"])
+        spans = told.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("words")).alias("stop"), "digest"))).alias("_spans"))
+        spans = work.last(spans, "spans")
     inside, outside = split_by_keys(marked, F.xxhash64("_doc", "_mark"), spans.select(F.xxhash64("_doc", "_mark").alias("key")))
     none = F.lit(None).cast(spans.schema["_spans"].dataType)
     met = inside.join(spans.hint("shuffle_hash"), ["_doc", "_mark"], "left")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, n_words, only, shield
+from .common import WORD, cut, documents, n_words, only, scratch, shield
 
 #: Documents of a block (about); least blocks a shard of a source; shards of the production query.
 BLOCK_DOCS, SHARD_BLOCKS, SHARDS = 1024, 64, 16
@@ -29,7 +29,8 @@ def targets(totals: DataFrame, share: float = 1.5, most: float = 2.0, weights: t
 
     Sources by code point, null last, have the weights in turn and share `share` times all sizes by
     weight; none gets more than `most` times its size, and what is over goes to the others by weight.
-    One row a source goes through two windows.
+    One row a source goes through two windows, and the tree folds arrays with an entry a source: made for some
+    thousands of sources, whatever their sizes.
     """
     by_name, by_room = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("room", "turn")
     out = totals.withColumn("turn", F.row_number().over(by_name) - 1)
@@ -141,8 +142,9 @@ def take(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = S
     """
     key = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
     sized = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", key)
-    light = cut(sized.select("source", "_size", "_key"), "sizes")
-    plan = cut(plan_mix(light, share, most, shards, seed), "mix")
+    with scratch(docs.sparkSession) as work:
+        light = cut(sized.select("source", "_size", "_key"), "sizes")
+        plan = work.last(plan_mix(light, share, most, shards, seed), "mix")
     plan = plan.select(*[F.col(c).alias(f"_plan_{c.strip('_')}") for c in plan.columns])
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))).withColumn("_block", block_of("_plan_n"))
     here, edge = F.struct("_block", "_key"), F.struct("_plan_cut_block", "_plan_cut_key")

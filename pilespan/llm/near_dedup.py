@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, shield, small_batches, split_by_keys, texts_of
+from .common import cut, only, scratch, shield, small_batches, split_by_keys, texts_of
 from .components import components
 from .covering import covering
 from .simhash import shingle_hashes
@@ -372,8 +372,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     are read whole.
     """
     plain, names = shield(docs, "doc_id", "text")
-    groups = near_duplicates(plain, shingle, similarity)
-    gone = cut(groups.where("doc <> root_doc or mark <> root_mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "duplicates")
+    with scratch(docs.sparkSession) as work:
+        groups = near_duplicates(plain, shingle, similarity)
+        gone = work.last(groups.where("doc <> root_doc or mark <> root_mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "duplicates")
     keyed = plain.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_mark": F.xxhash64("text")})
     inside, outside = split_by_keys(keyed, F.xxhash64("_doc", "_mark"), gone.select(F.xxhash64("_doc", "_mark").alias("key")))
     stay = inside.join(gone, ["_doc", "_mark"], "left_anti").select(*plain.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, cut, only, scratch
 
 #: Rows on which lists are fitted and probes set (about); rows of them that queries are compared with first; most lists; rows of a part of a list.
 FIT_ROWS, FIRST_ROWS, MOST_LISTS, PART_ROWS = 32768, 4096, 1024, 4096
@@ -156,8 +156,12 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
     best score; ties go to the smaller id. Fewer rows come only where there are fewer candidates.
     Nulls are left out as usable() says, other columns are ignored, and no usable rows give no rows.
     """
+    with scratch(rows.sparkSession) as work:
+        return _nearest(rows, queries, k, work)
+
+
+def _nearest(rows: DataFrame, queries: str, k: int, work: Scratch) -> DataFrame:
     spark = rows.sparkSession
-    work = Scratch(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     good = usable(rows)
     n = good.count()
@@ -176,7 +180,7 @@ def nearest(rows: DataFrame, queries: str, k: int = 5) -> DataFrame:
 
     same = Window.partitionBy("v").orderBy("id")
     least = good.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "v")
-    held = work.cut(least.mapInArrow(deal, "id long, v array<double>, list int"), "lists")
+    held = cut(least.mapInArrow(deal, "id long, v array<double>, list int"), "lists")
     sizes = np.zeros(len(lists.value.centres), dtype=np.int64)
     counted = held.groupBy("list").count()
     for r in counted.collect():  # a row a list

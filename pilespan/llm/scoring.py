@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from .common import Scratch, documents, mix64, only, packed, small_batches, texts_of, unpacked
+from .common import Scratch, documents, mix64, only, packed, scratch, small_batches, texts_of, unpacked
 from .language import remainder
 
 #: Discount of every count; least count of a bigram or trigram in the model.
@@ -341,9 +341,14 @@ def scores(docs: DataFrame, train, least: int = MIN_COUNT) -> DataFrame:
     get the same scores, and scores don't depend on how rows are partitioned; empty tables give none. A very long text is
     a block of its own, and a task holds one block with its n-grams.
     """
+    with scratch(docs.sparkSession) as work:
+        return _scores(docs, train, least, work)
+
+
+def _scores(docs: DataFrame, train, least: int, work: Scratch) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    work, n = Scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = docs.columns
     docs = docs.select("*", F.coalesce(train, F.lit(False))).toDF(*[x if x in ("doc_id", "text") else f"c{i}" for i, x in enumerate(names)], "_learn")
     carried = {x: name for x, name in zip(docs.columns, names) if x != "text" and name.lower() not in MADE}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, map_batches, only, small_batches, texts_of
+from .common import cut, documents, map_batches, only, scratch, small_batches, texts_of
 from .components import components
 from .covering import covering
 
@@ -118,13 +118,14 @@ def simhash_components(docs: DataFrame, shingle: int = 3, threshold: int = 2, id
     component_id is the smallest non-null id that a chain of fingerprints at most threshold bits
     apart reaches, null only if every id there is null. Empty tables give no rows.
     """
-    fps = cut(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
-    roots = components(linked_fingerprints(fps, threshold))
-    first = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = cut(first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    with scratch(docs.sparkSession) as work:
+        fps = cut(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
+        roots = components(linked_fingerprints(fps, threshold))
+        first = fps.groupBy("fp").agg(F.min("id").alias("least"))
+        rooted = cut(first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = rooted.join(least, "root").select("fp", "component_id")
+        return work.last(fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id"), "components")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
