@@ -27,7 +27,7 @@ from .simhash import shingle_hashes
 
 SKETCH_WORDS, TABLES, DRAWN = 16, 16, 46
 #: Sketches that a map task compares at once; texts of an anchor that isn't crowded; about half the texts of a cell.
-BLOCK, CROWD, CELL = 2048, 64, 512
+BLOCK, CROWD, CELL = 2048, 8, 512
 #: Sketches of texts at a similarity s differ in a share acos(2 s / (1 + s)) / pi of the bits. So many standard
 #: deviations from that for the threshold they are clear, if the texts have CLEAR_SHINGLES.
 CLEAR, CLEAR_SHINGLES = 3.5, 32
@@ -129,7 +129,7 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
     sure_bits, far_word = clear_bits(similarity, -1), int(clear_bits(similarity, 1, 64))
     draws = _draws()
 
-    def block(batches: list[pa.RecordBatch]) -> pa.Table:
+    def block(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Replicas of a block. What is surely near the first at an anchor stays, and is linked once in the block."""
         t = pa.Table.from_batches(batches)
         node, large = np.asarray(t["node"]), np.asarray(t["n"]) >= CLEAR_SHINGLES
@@ -137,7 +137,7 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
         code = covering(("golay", "golay"))
         flips = np.concatenate(([0], 1 << np.arange(DRAWN))).astype(np.uint64)
         bits, words = np.unpackbits(sketch, axis=1, bitorder="little"), sketch.view("<u8")
-        ends, out = [], []
+        ends = []
         for table, places in enumerate(draws):
             drawn = (bits[:, places].astype(np.uint64) << np.arange(DRAWN, dtype=np.uint64)).sum(1, dtype=np.uint64)
             anchor = np.sort(code.home(drawn[:, None] ^ flips) | np.uint64(table << DRAWN), axis=1)
@@ -155,12 +155,11 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
             ends.append(np.stack([x[near], y[near]]))
             keep = np.ones(len(key), dtype=bool)
             keep[later[near]] = False
-            out.append(pa.table({"key": key[keep].view(np.int64), "node": node[row[keep]], "word": words[row[keep], table % SKETCH_WORDS].copy().view(np.int64)}))
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(node[row[keep]]), pa.array(words[row[keep], table % SKETCH_WORDS].copy().view(np.int64))], ["key", "node", "word"])
         least = _forest(len(node), *np.concatenate(ends, axis=1))
         own = np.nonzero(least != np.arange(len(node)))[0]
         # a link travels as a row with a key of its own, below zero
-        out.append(pa.table({"key": -1 - (node[own] & 0xFFFFFF), "node": node[own], "word": node[least[own]]}))
-        return pa.concat_tables(out)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - (node[own] & 0xFFFFFF)), pa.array(node[own]), pa.array(node[least[own]])], ["key", "node", "word"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -168,10 +167,10 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
             held.append(batch)
             size += batch.num_rows
             if size >= BLOCK:
-                yield from block(held).combine_chunks().to_batches(1 << 16)
+                yield from block(held)
                 held, size = [], 0
         if size:
-            yield from block(held).combine_chunks().to_batches(1 << 16)
+            yield from block(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs at small anchors and known links as (u, v, sure); members of crowded anchors as (key, node, null)."""
