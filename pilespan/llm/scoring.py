@@ -35,6 +35,8 @@ DISCOUNT, MIN_COUNT = 0.5, 2
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score")
 #: Bytes of text in a block; tokens of the corpus for a bucket of keys; occurrences of a context for each part of it (as a power of two).
 BLOCK_BYTES, BUCKET_TOKENS, PART_BITS = 4 << 20, 1 << 18, 20
+#: Buckets that a task's blocks are stored in, at most.
+TASK_BUCKETS = 8
 #: The hash that stands for the end, which also stands before a text.
 END = np.uint64(0x9D5C6E3F20B7A481)
 #: What is asked for: counts of words, counts of bigrams, what follows words, what follows bigrams.
@@ -291,27 +293,48 @@ class Automaton:
         return np.bincount(block.row, weights=self.step(state, block.token)[1], minlength=len(block.starts))
 
 
-def _blocks(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """(block, rows, tokens, learnt, data): texts of about BLOCK_BYTES in a row, with the columns carried of their rows.
+def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of n in which Spark stores each long: its 32-bit Murmur3 hash with seed 42, modulo n."""
+    h = np.full(len(x), 42, dtype=np.uint32)
+    turn = lambda a, r: a << np.uint32(r) | a >> np.uint32(32 - r)
+    for half in (x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF):
+        k = turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).astype(np.int32).astype(np.int64) % n
 
-    tokens: those of texts that are learnt from.
+
+def block_numbers(task: int, n: int) -> Iterator[int]:
+    """Numbers for a task's blocks: its own, ascending, and in TASK_BUCKETS of n buckets at most, so that it writes few files."""
+    at, own = task << 32, None
+    while True:
+        x = np.arange(at, at + (1 << 16), dtype=np.int64)
+        of = bucket_of(x, n)
+        own = np.unique(of[:TASK_BUCKETS]) if own is None else own
+        yield from x[np.isin(of, own)].tolist()
+        at += 1 << 16
+
+
+def _blocks(docs: DataFrame, carried: list[str], n: int) -> DataFrame:
+    """(block, rows, tokens, data): texts of about BLOCK_BYTES in a row, with the columns carried of their rows.
+
+    tokens: those of texts that are learnt from. n: buckets in which the blocks will be stored.
     """
     fields = docs.select(*carried).schema
     schema = StructType().add("block", LongType()).add("rows", ArrayType(fields)).add("tokens", LongType()).add("data", BinaryType())
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
+        numbers = block_numbers(TaskContext.get().partitionId(), n)
         held, texts, learnt, size = [], [], [], 0
 
         def emit() -> pa.RecordBatch:
-            nonlocal number
             rows = pa.Table.from_batches(held).combine_chunks().to_struct_array()
             rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
             lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
             tokens = sum(len(t) + 1 for t, x in zip(texts, learnt) if x)
-            out = pa.RecordBatch.from_arrays([pa.array([number]), lists, pa.array([tokens]), pa.array([_block(texts, learnt)], pa.binary())], ["block", "rows", "tokens", "data"])
-            number += 1
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)]), lists, pa.array([tokens]), pa.array([_block(texts, learnt)], pa.binary())], ["block", "rows", "tokens", "data"])
 
         for batch in batches:
             marks, since = batch.column("_learn").to_pylist(), 0
@@ -348,11 +371,11 @@ def scores(docs: DataFrame, train, least: int = MIN_COUNT) -> DataFrame:
 def _scores(docs: DataFrame, train, least: int, work: Scratch) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))  # Spark's most buckets
     names = docs.columns
     docs = docs.select("*", F.coalesce(train, F.lit(False))).toDF(*[x if x in ("doc_id", "text") else f"c{i}" for i, x in enumerate(names)], "_learn")
     carried = {x: name for x, name in zip(docs.columns, names) if x != "text" and name.lower() not in MADE}
-    blocks = work.bucketed(_blocks(docs, list(carried)), "blocks", "block", n)
+    blocks = work.bucketed(_blocks(docs, list(carried), n), "blocks", "block", n)
     tokens = int(blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0)
     bits = max(0, (-(-tokens // BUCKET_TOKENS) - 1).bit_length())
 

@@ -153,3 +153,13 @@ def test_query_agrees_with_the_definition(spark):
     assert (got.held_out == [i not in train for i in got.doc_id]).all()
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum() and (held.score > held.base_score).mean() > 0.8
+
+
+def test_a_task_stores_its_blocks_in_few_buckets(spark):
+    x = [*range(50), -1, -(1 << 40), 7 << 32 | 12345, (1 << 62) + 3]
+    rows = spark.createDataFrame([(i,) for i in x], "x long").select("x", F.expr("pmod(hash(x), 51)").alias("b")).collect()
+    assert {r.x: r.b for r in rows} == dict(zip(x, scoring.bucket_of(np.array(x, dtype=np.int64), 51).tolist()))
+    numbers = scoring.block_numbers(3, 2000)
+    own = [next(numbers) for _ in range(500)]
+    assert own == sorted(set(own)) and own[0] == 3 << 32 and own[-1] < 4 << 32
+    assert len(set(scoring.bucket_of(np.array(own), 2000).tolist())) <= scoring.TASK_BUCKETS
