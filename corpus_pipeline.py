@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pilespan.llm.common import cut, documents, shield
+from pilespan.llm.common import documents, remove, scratch, shield, stored
 from pilespan.llm.debruijn import remove_repeats
 from pilespan.llm.language import fit, predict
 from pilespan.llm.mixing import mixed
@@ -66,7 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        if before:
+            remove(spark, before)
+        before = path
     return docs
