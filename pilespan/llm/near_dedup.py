@@ -8,7 +8,9 @@ sketch, then, unless the sketch is clear, by their shingles. At an anchor with f
 with each by 64 bits. The texts of a crowded anchor meet their whole sketches and are dealt to cells of bounded
 size, in which each is compared with each, three times: a cell first gives a forest of the links that are clear; then
 for each text its nearest in doubt among other groups; and once these are checked, all pairs in doubt that still lie between
-groups. So what large groups of near copies send on grows with their texts, not with their pairs.
+groups. The first two are done at the texts' home anchors, those of their own points, before all anchors are looked at; anchors
+whose texts are in one group by then need no cells. So what large groups of near copies send on grows with their texts, not with
+their pairs, and mostly with one row a table and text, not one for each point.
 """
 
 from __future__ import annotations
@@ -80,6 +82,11 @@ def _draws() -> np.ndarray:
     return np.stack([rng.choice(64 * SKETCH_WORDS, DRAWN, replace=False) for _ in range(TABLES)])
 
 
+def _drawn(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits of each sketch at a table's places, as a number."""
+    return (bits[:, places].astype(np.uint64) << np.arange(DRAWN, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n items the least item that the links a-b reach."""
     least = np.arange(n)
@@ -139,8 +146,7 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
         bits, words = np.unpackbits(sketch, axis=1, bitorder="little"), sketch.view("<u8")
         ends = []
         for table, places in enumerate(draws):
-            drawn = (bits[:, places].astype(np.uint64) << np.arange(DRAWN, dtype=np.uint64)).sum(1, dtype=np.uint64)
-            anchor = np.sort(code.home(drawn[:, None] ^ flips) | np.uint64(table << DRAWN), axis=1)
+            anchor = np.sort(code.home(_drawn(bits, places)[:, None] ^ flips) | np.uint64(table << DRAWN), axis=1)
             fresh = np.ones(anchor.shape, dtype=bool)
             fresh[:, 1:] = anchor[:, 1:] != anchor[:, :-1]
             key, row = anchor[fresh], np.repeat(np.arange(len(node)), fresh.sum(1))
@@ -217,10 +223,30 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
 
 def crowds(met: DataFrame) -> DataFrame:
     """(key, node, parts): the texts of crowded anchors, and the parts of about CELL texts that an anchor has."""
-    crowd = met.where("sure is null").select(F.col("u").alias("key"), F.col("v").alias("node"))
+    return in_parts(met.where("sure is null").select(F.col("u").alias("key"), F.col("v").alias("node")))
+
+
+def in_parts(crowd: DataFrame) -> DataFrame:
     return crowd.join(crowd.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "key")
 
 
+def at_home(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members (key, node, parts) at anchors of their own points."""
+    draws = _draws()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = covering(("golay", "golay"))
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+                for table, places in enumerate(draws):
+                    key = code.home(_drawn(bits, places)) | np.uint64(table << DRAWN)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node")], ["key", "node"])
+
+    own = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch").mapInArrow(work, "key long, node long")
+    return in_parts(members.select("key", "node").join(own, ["key", "node"], "left_semi"))
+
+
 def compared(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, what: str) -> DataFrame:
     """(u, v, apart) of the texts of crowded anchors that look near and lie in different groups of roots (node, root).
 
@@ -347,6 +373,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     roots = cut(components(judged.where(clear).select("u", "v").union(met.where("sure").select("u", "v"))), "clear")
     # crowds: their clear links, then each text's nearest, then what still lies between groups
     members = cut(crowds(met), "members")
+    home = cut(at_home(members, nodes), "home")
+    roots = cut(components(_star_of(roots).union(compared(home, nodes, roots, similarity, "sure").select("u", "v"))), "crowds")
+    first = cut(compared(home, nodes, roots, similarity, "nearest").select("u", "v"), "first")
+    links = _star_of(roots).union(checked(keyed, nodes, first, shingle, similarity))
+    roots = cut(components(links), "home-groups")
     roots = cut(components(_star_of(roots).union(compared(members, nodes, roots, similarity, "sure").select("u", "v"))), "crowds")
     unclear = cut(between(judged.where(~clear).select("u", "v", "apart"), roots), "unclear")
     both = unclear.union(compared(members, nodes, roots, similarity, "nearest"))
@@ -354,7 +385,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     nearest = cut(nearest, "nearest")
     roots = cut(components(_star_of(roots).union(checked(keyed, nodes, nearest, shingle, similarity))), "groups")
     rest = between(unclear, roots).union(compared(members, nodes, roots, similarity, "all")).select("u", "v").distinct()
-    rest = rest.join(nearest, ["u", "v"], "left_anti")
+    rest = rest.join(nearest.union(first), ["u", "v"], "left_anti")
     roots = components(_star_of(roots).union(checked(keyed, nodes, rest, shingle, similarity)))
     rooted = cut(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
