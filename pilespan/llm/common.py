@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a filter that goes to all tasks: its size is the same however many keys there are.
 FILTER_BITS = 1 << 26
-#: Documents in an Arrow batch: few enough that a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch, about: a batch of long texts stays small, one of short rows has many.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches handed to Python small, as texts may be long, unless the session says how large they are."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(BATCH_ROWS))
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def remove(spark: SparkSession, path: str) -> None:

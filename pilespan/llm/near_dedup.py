@@ -169,7 +169,7 @@ def meeting(nodes: DataFrame, similarity: float) -> DataFrame:
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
             held.append(batch)
             size += batch.num_rows
             if size >= BLOCK:
