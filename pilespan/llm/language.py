@@ -129,7 +129,9 @@ def fit(labelled: DataFrame) -> LanguageFilter | None:
         return None
     languages = sorted(r["lang"] for r in sizes)
     number = {lang: n for n, lang in enumerate(languages)}
-    bounds = known.sparkSession.createDataFrame([(r["lang"], number[r["lang"]], int(min(1.0, FIT_DOCS / r["count"]) * (1 << 30))) for r in sizes], "lang string, number int, bound long")
+    # an Arrow table stays in the JVM; a list would start a second set of Python workers in each executor, only to copy it
+    shares = [int(min(1.0, FIT_DOCS / r["count"]) * (1 << 30)) for r in sizes]
+    bounds = known.sparkSession.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in sizes], pa.string()), "number": pa.array([number[r["lang"]] for r in sizes], pa.int32()), "bound": pa.array(shares, pa.int64())}))
     drawn = known.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("bound")).select(F.col("number").alias("lang"), "text")
 
     def grams(batch: pa.RecordBatch) -> pa.Table | None:

@@ -31,6 +31,19 @@ def test_without_training(spark, docs_of):
     assert [r.lang_pred for r in language.predict(docs_of(["abc"], clashing=False), None, ["doc_id"]).collect()] == ["und"]
 
 
+def test_fit_needs_no_second_set_of_python_workers(spark, monkeypatch):
+    """Only mapInArrow runs Python in the executors: what the fit hands to Spark doesn't pass through an RDD of Python objects."""
+    train = spark.createDataFrame([("abcd efgh", "a")] * 9 + [("wxyz uvst", "b")] * 9, "text string, lang string")
+    made = []
+
+    def parallelize(self, *a, f=type(spark.sparkContext).parallelize, **b):
+        made.append(a)
+        return f(self, *a, **b)
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    assert language.fit(train).languages == ["a", "b"] and not made
+
+
 def test_filter_finds_what_it_holds():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 4000).astype(np.uint64)
