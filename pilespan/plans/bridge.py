@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cigar import aligned_pairs
+from ..operators.cigar import blocks
 from ..sources.fasta import chunked, pieces
 
 #: CIGARs by read id modulo 11.
@@ -96,17 +96,25 @@ def sizes(spark: SparkSession) -> DataFrame:
     return spark.range(CHROMOSOMES).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("region"), F.lit(REFERENCE_LENGTH).cast("long").alias("length"), F.col("id").cast("int").alias("ord"))
 
 
-def pick(pairs: DataFrame) -> DataFrame:
-    """pairs (read_id, c, rno, pos0, qpos) with base and qual.
+def read_letter(read_id: Column, rno: Column, pos0: Column) -> Column:
+    """The letter that a read has at a position.
 
     Letters are numbered A, C, G, T; a transition changes the number's second bit, the other change its first.
     """
-    r, p = F.col("read_id"), F.col("pos0")
-    letter = F.when((p % 211).between(100, 106), 0).otherwise((p * p + 3 * p + 7 * F.col("rno") + F.expr("pos0 div 5")) % 4)
-    change = F.when((13 * r + 17 * p) % 29 == 0, 2).when((5 * r + 3 * p) % 211 == 0, 1).otherwise(0)
+    letter = F.when((pos0 % 211).between(100, 106), 0).otherwise((pos0 * pos0 + 3 * pos0 + 7 * rno + F.call_function("div", pos0, F.lit(5))) % 4)
+    change = F.when((13 * read_id + 17 * pos0) % 29 == 0, 2).when((5 * read_id + 3 * pos0) % 211 == 0, 1).otherwise(0)
     letters = F.array(*map(F.lit, "ACGT"))
-    base = F.when(((r + p) % 503 == 0) | (p % 997 == 0), "N").otherwise(F.get(letters, letter.bitwiseXOR(change).cast("int")))
-    return pairs.withColumn("base", base).withColumn("qual", (24 + (3 * r + 7 * F.col("qpos") + F.col("c")) % 17).cast("int"))
+    return F.when(((read_id + pos0) % 503 == 0) | (pos0 % 997 == 0), "N").otherwise(F.get(letters, letter.bitwiseXOR(change).cast("int")))
+
+
+def read_quality(read_id: Column, c: Column, qpos: Column) -> Column:
+    return 24 + (3 * read_id + 7 * qpos + c) % 17
+
+
+def pick(pairs: DataFrame) -> DataFrame:
+    """pairs (read_id, c, rno, pos0, qpos) with base and qual."""
+    base = read_letter(F.col("read_id"), F.col("rno"), F.col("pos0"))
+    return pairs.withColumn("base", base).withColumn("qual", read_quality(F.col("read_id"), F.col("c"), F.col("qpos")).cast("int"))
 
 
 def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,14 +134,23 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
-    """(value): the reads as SAM text, with their bases and qualities; a base that isn't aligned is A."""
-    known = pick(aligned_pairs(reads)).groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct("qpos", "base"))).alias("_bases"))
+    """(value): the reads as SAM text, with their bases and qualities; a base that isn't aligned is A.
+
+    A line is put together inside its row, so reads meet no others: it takes no shuffle, and reads may share an id.
+    """
+    k = F.col("read_id")
+
+    def longer(seq: Column, block: Column) -> Column:
+        places = F.sequence(block["pos0"], block["pos0"] + block["length"] - 1)
+        letters = F.transform(places, lambda p: read_letter(k, F.col("rno"), p))
+        return F.concat(F.rpad(seq, block["qpos"].cast("int"), F.lit("A")), F.array_join(letters, ""))
+
+    aligned = F.coalesce(F.aggregate(blocks(), F.lit(""), longer), F.lit(""))
+    seq = F.rpad(aligned, F.col("qlen").cast("int"), F.lit("A"))
     places = F.sequence(F.lit(0).cast("long"), F.col("qlen") - 1)
-    seq = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("_bases", i), F.lit("A"))), "")
-    quals = F.array_join(F.transform(places, lambda i: F.char(33 + 24 + (3 * F.col("read_id") + 7 * i + F.col("c")) % 17)), "")
-    fields = [F.col("read_id"), F.col("flag"), F.col("region"), F.col("start0") + 1, F.col("mapq"), F.col("cigar"), F.lit("*"), F.lit(0), F.lit(0), seq, quals]
-    rows = reads.join(known, "read_id", "left")
-    return rows.select(F.concat_ws("\t", *[f.cast("string") for f in fields], F.when(F.col("has_sa"), "SA:Z:chr1,1,+,40M,60,0;")).alias("value"))
+    quals = F.array_join(F.transform(places, lambda i: F.char(33 + read_quality(k, F.col("c"), i))), "")
+    fields = [k, F.col("flag"), F.col("region"), F.col("start0") + 1, F.col("mapq"), F.col("cigar"), F.lit("*"), F.lit(0), F.lit(0), seq, quals]
+    return reads.select(F.concat_ws("\t", *[f.cast("string") for f in fields], F.when(F.col("has_sa"), "SA:Z:chr1,1,+,40M,60,0;")).alias("value"))
 
 
 def fasta_lines(chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ import pytest
 from pilespan.config import PileupConfig, Region
 from pilespan.operators import positions
 from pilespan.operators import reads as read_ops
+from pilespan.plans import bridge
 from pilespan.plans.pileups import pileup
+from pilespan.plans.queries import QUERIES
 from pilespan.sources import alignments, fasta, sinks, tables
 from pyspark.sql import functions as F
 
@@ -230,3 +232,16 @@ def test_stream_is_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     key = lambda df: sorted((r.position, r.coverage, tuple(r.base_count)) for r in df.collect())
     assert key(spark.table("sites")) == key(pileup(reads, reference, config))
+
+
+def test_sam_lines_of_many_reads(spark, tmp_path):
+    """Lines are made inside the row: no read waits for others in memory, and two reads may have one id."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.union(orders).write.parquet(str(tmp_path / "orders.parquet"))
+    assert spark.read.parquet(str(tmp_path / "orders.parquet")).groupBy("o_orderkey").count().where("count = 2").count() == orders.count()
+    reads = bridge.make_reads(spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("c")))
+    plan = bridge.sam_lines(reads)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    from_files, from_tables = (QUERIES[q](spark, str(tmp_path)) for q in ("pileup_from_files", "pileup_basic"))
+    got, expected = sorted(map(tuple, from_files.collect())), sorted(map(tuple, from_tables.select(*from_files.columns).collect()))
+    assert got == expected and max(r[from_files.columns.index("coverage")] for r in got) > 1
